@@ -25,25 +25,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.session import written
+
 #: Private characters that stand for parts of a text once it is normalised.
 BLOCK, JSON, CODE, QUOTE, CLOSED, MARK = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 SPECIAL = "[\ue000-\ue00f]"
-#: (pattern, replacement), in this order.
+#: (pattern, replacement), in this order. None repeats a group or rescans a run, so long texts take linear time.
 STEPS = [
     (SPECIAL, " "),
     (r"\r\n?", "\n"),
-    (r"(?m)^[ \t]*[•☐*-][ \t]+|[ \t]*[✅][ \t]*$", ""),
+    (r"(?m)^[ \t]*[•☐*-][ \t]+|[ \t]*✅[ \t]*$", ""),
     (r"(?s)```.*?```", f" {BLOCK} {CLOSED} "),
     (r"(?s)```.*\z", f" {BLOCK} "),
-    (r"(?m)\{\"[^\n]*\}[ \t]*$", f" {JSON} {CLOSED} "),
-    (r"(?s)\{(?:\".*)?\z", f" {JSON} "),
+    (r"(?m)\{\"[^\n]*?(\}[ \t]*)?$", f" {JSON}$1 "),
+    (JSON + r"\}", f"{JSON} {CLOSED} "),
+    (r"\{\z", f" {JSON} "),
     (r"`[^`\n]*`", f" {CODE} {CLOSED} "),
-    (r"(?s)`[^`]*\z", f" {CODE} "),
+    (r"`[^`]*\z", f" {CODE} "),
     (r"\"[^\"\n]*\"", f" {QUOTE} {CLOSED} "),
-    (r"(?s)\"[^\"\n]*\z", f" {QUOTE} "),
-    (r"(?<![\w:/.])(?:/[\w-]+)+/?", " /p "),
-    (r"\d+(?:[.,:]\d+)*", "0"),
-    (r"(?:\.{2,}|…|[.!?](?=\s|\z)|[。！？])+|\n", f" {MARK} "),
+    (r"\"[^\"\n]*\z", f" {QUOTE} "),
+    (r"(?<![\w:/.])/[\w-][\w/-]*", " /p "),
+    (r"\d[\d.,:]*(?<=\d)", "0"),
+    (r"[…。！？\n]|\.{2,}|[.!?]+(?=\s|\z)", f" {MARK} "),
     (r"([,;:()\[\]{}])(?=\s|\z)|(?<=\s)([(\[{])", " $1$2 "),
     (r"(?<=\p{IsHan})(?=[\p{IsHiragana}\p{IsKatakana}])|(?<=[\p{IsHiragana}ー])(?=[\p{IsHan}\p{IsKatakana}])|(?<=[\p{IsKatakana}ー])(?=[\p{IsHan}\p{IsHiragana}])", " "),
 ]
@@ -53,7 +56,7 @@ FREQUENT, TERMINAL_SHARE = 5, 0.05
 
 
 def normalised(text: Column) -> Column:
-    out = F.lower(F.regexp_replace(text, r"\s+\z", ""))
+    out = F.lower(F.regexp_replace(text, r"(?<!\s)\s+\z", ""))
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
     return out
@@ -103,12 +106,12 @@ def _begun(level: DataFrame, context: list[str], wanted: DataFrame) -> DataFrame
 def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """doc_id and reason: ``inside`` (stops in a sentence or block), ``word`` (in a word), ``char`` (in a character, or at a bare list mark).
 
-    ``counts`` is the table of :func:`trigrams`; give it written if it is used again.
+    ``counts`` is the table of :func:`trigrams`, written; without it, it is made and written here.
     A final trigram is judged by the finest counts that know it: with its sentence's
     opening, alone, then its last two words, then its last word.
     """
-    counts = counts if counts is not None else trigrams(docs, text)
-    ends = finals(docs, doc_id, text)
+    counts = counts if counts is not None else written(trigrams(docs, text), "trigrams")
+    ends = written(finals(docs, doc_id, text), "finals")
     kinds = ends.groupBy("opening", "w1", "w2", "w3").agg(F.count("*").alias("texts"))
     judged, inside, word = kinds, [], []
     for n, keys in enumerate(LEVELS):
@@ -132,7 +135,7 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count
         return out
 
     bad = judged.withColumn("reason", F.when(first_known(inside), "inside").when(first_known(word), "word")).filter("reason is not null").select("opening", "w1", "w2", "w3", "reason")
-    torn = docs.filter(F.col(text).rlike(r"(?s)\S.*(?:\ufffd|\n[ \t]*[•☐*-][ \t]*)\z")).select(F.col(doc_id).alias("doc_id"), F.lit("char").alias("reason"))
+    torn = docs.filter(F.col(text).rlike(r"(?:\ufffd|\n[ \t]*[•☐*-][ \t]*)\z") & (F.length(text) > 1)).select(F.col(doc_id).alias("doc_id"), F.lit("char").alias("reason"))
     return ends.join(bad, ["opening", "w1", "w2", "w3"]).select("doc_id", "reason").join(torn, "doc_id", "left_anti").unionByName(torn)
 
 
