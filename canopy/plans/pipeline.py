@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.operators import changefeed, nested, orphans, rolling
-from canopy.session import table
+from canopy.operators import changefeed, nested, orphans, rolling, spikes
+from canopy.session import epoch_seconds, table, written
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,6 +92,31 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return p4_found(spark, sf).groupBy("table_name", "field_name", "period").agg(F.count("*").alias("orphans"))
 
 
+def _readings(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per source and time, the newest of those sent again, with what the row allows."""
+    entry = lambda name, ok: F.struct(F.lit(name).alias("metric"), F.col(name).cast("long").alias("value"), ok.alias("possible"))
+    m = table(spark, sf, "database_metrics").select("project_id", "database_id", "ts", "id", "ccu", "peak_ccu", "writes", "data_size_bytes")
+    m = rolling.newest_rows(m, ["project_id", "database_id", "ts"], "id", ["ccu", "peak_ccu", "writes", "data_size_bytes"])
+    ccu = entry("ccu", spikes.possible(F.col("ccu"), F.col("peak_ccu"), 2**31 - 1))
+    size = entry("data_size_bytes", spikes.possible(F.col("data_size_bytes"), F.lit(2**40), 2**63 - 1))
+    databases = m.select(F.concat_ws("/", "project_id", "database_id").alias("source"), epoch_seconds(F.col("ts")).alias("t"), (F.col("writes") > 0).alias("active"), (F.col("writes") == 0).alias("idle"), F.array(ccu, size).alias("metrics"))
+    s = table(spark, sf, "servers").groupBy("id", "last_heartbeat").agg(F.max("connection_count").alias("connection_count"), F.max("capacity").alias("capacity"))
+    connections = entry("connection_count", spikes.possible(F.col("connection_count"), F.col("capacity"), 2**31 - 1))
+    servers = s.select(F.col("id").alias("source"), F.col("last_heartbeat").alias("t"), F.lit(True).alias("active"), F.lit(False).alias("idle"), F.array(connections).alias("metrics"))
+    return databases.unionByName(servers)
+
+
+def p5_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Implausible readings with their kind."""
+    readings = written(_readings(spark, sf), "readings")
+    return spikes.implausible(readings).select("metric", "source", F.col("t").alias("ts_s"), "reason")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Implausible readings of databases and servers, each once."""
+    return p5_cases(spark, sf).select("metric", "source", "ts_s").distinct()
+
+
 P3_TOTALS_SQL = """
 WITH
 n AS (SELECT m.project_id, CAST(m.ts AS DATE) AS d, CAST(SUM(COALESCE(m.writes, 0)) AS BIGINT) AS writes, CAST(SUM(COALESCE(m.bytes_in, 0)) AS BIGINT) AS bytes_in
@@ -120,7 +145,7 @@ x AS (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_leaves_per_database, p2_found, p2_variants, p2_supertypes, p3_found, p3_totals, p4_found, p4_report]
+    own = [p1_found, p1_leaves_per_database, p2_found, p2_variants, p2_supertypes, p3_found, p3_totals, p4_found, p4_report, p5_found, p5_cases]
     return {f.__name__: f for f in own}
 
 
