@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,7 +196,8 @@ def stuck_flags(value, present, active):
     return out
 
 
-def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+def _bucket(table: pa.Table) -> pa.Table:
+    pdf = table.to_pandas()
     pdf = pdf.sort_values(["metric", "source", "chunk", "t"], kind="stable")
     key = pdf.groupby(["metric", "source", "chunk"], sort=False).ngroup().to_numpy()
     pos = pdf.groupby(["metric", "source", "chunk"], sort=False).cumcount().to_numpy()
@@ -223,7 +225,8 @@ def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
             hit = (flags & core)[at]
             if hit.any():
                 hits.append(pdf.loc[mine, ["metric", "source", "t"]][hit].assign(reason=reason))
-    return pd.concat(hits) if hits else pd.DataFrame({"metric": [], "source": [], "t": pd.Series([], dtype="int64"), "reason": []})
+    out = pd.concat(hits, ignore_index=True) if hits else pd.DataFrame({"metric": [], "source": [], "t": [], "reason": []})
+    return pa.table({c: pa.array(out[c].tolist(), pa.int64() if c == "t" else pa.string()) for c in out.columns})
 
 
 def implausible(readings: DataFrame, n: int | None = None) -> DataFrame:
@@ -253,7 +256,7 @@ def implausible(readings: DataFrame, n: int | None = None) -> DataFrame:
     long = long.filter("m.value is not null").select("m.metric", "source", "t", F.col("m.value").cast("long").alias("value"), F.coalesce("m.possible", F.lit(True)).alias("possible"), "active", "idle", "chunk", "core")
     buckets = max(1, n // BUCKET * 2)
     dealt = long.withColumn("bucket", F.pmod(F.xxhash64("metric", "source", "chunk"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(lambda pdf: _bucket(pdf), FOUND_SCHEMA)
+    return dealt.groupBy("bucket").applyInArrow(_bucket, FOUND_SCHEMA)
 
 
 def possible(value: Column, most: Column | None, top: int) -> Column:
