@@ -6,6 +6,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the alphabet of push ids, in order.
 ALPHABET = "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
@@ -34,7 +35,7 @@ def push_id(ms: Column, seed: Column) -> Column:
     return F.concat(push_time(ms), *tail)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fnv1a32(text: pd.Series) -> pd.Series:
     """FNV-1a, 32 bits, of the UTF-8 bytes."""
 
@@ -49,7 +50,7 @@ def fnv1a32(text: pd.Series) -> pd.Series:
     return text.map(one).astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xxh64_hex(text: pd.Series) -> pd.Series:
     """xxHash64 with seed 0, as 16 hex digits."""
     return text.map(lambda t: None if t is None else f"{xxhash.xxh64_intdigest(t.encode('utf-8', 'replace')):016x}")
@@ -58,7 +59,7 @@ def xxh64_hex(text: pd.Series) -> pd.Series:
 def core_of(text: Column, cores: int) -> Column:
     """The core a database runs on: its xxHash64 modulo the number of cores."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def core(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) % cores).astype("Int32")
 

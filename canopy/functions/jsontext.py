@@ -9,8 +9,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+
+class _Invalid:
+    def __reduce__(self):  # one object in every Python worker too
+        return "INVALID"
+
+
 #: What :func:`parse` gives for text that is not JSON (``None`` is JSON ``null``).
-INVALID = object()
+INVALID = _Invalid()
 
 
 def _no_constant(name: str):

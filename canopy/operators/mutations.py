@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy import model
 from canopy.operators import tree
@@ -85,7 +86,7 @@ def valid_writes(writes: DataFrame) -> DataFrame:
     return writes.withColumn("error", error)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def valid_value_keys(text: pd.Series) -> pd.Series:
     """Whether all keys inside a value are valid, and ``.value`` has no sibling but ``.priority``."""
     from canopy.functions.jsontext import INVALID, children, parse
@@ -111,7 +112,7 @@ def conditions(checks: DataFrame, leaf: DataFrame) -> DataFrame:
     rel = F.when(F.col("path") == F.col("__p"), "").otherwise(F.expr("substring(path, if(__p = '', 1, length(__p) + 2))"))
     now = up.join(wanted, ["db", "__p"], "left_semi").groupBy("db", "__p").agg(F.sort_array(F.collect_list(F.struct(rel.alias("p"), F.col("value").alias("v")))).alias("items"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def build(items: pd.Series) -> pd.Series:
         from canopy.functions.jsontext import dump
 
@@ -166,7 +167,6 @@ def rate_limited(writes: DataFrame, key: str, ts_s: str, size: str) -> DataFrame
     The state passes from write to write, so a key's writes run in one ordered fold; rows
     stream through it in Arrow batches and the fold keeps two numbers.
     """
-    from pyspark.sql import types as T
 
     schema = T.StructType([*writes.schema.fields, T.StructField("allowed", T.BooleanType())])
 

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy import model
 from canopy.functions.jsontext import INVALID, children, dump, leaves, parse, safe
@@ -40,7 +41,6 @@ def flatten_json(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
             cols = [(kept.column(i).chunk(0) if kept.num_rows else pa.array([], b.schema.field(i).type)) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(paths, pa.string()), pa.array(values, pa.string())], names=[*keys, "path", "value"])
 
-    from pyspark.sql import types as T
 
     schema = T.StructType([*slim.schema.fields[:-1], T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
     return slim.mapInArrow(run, schema)
@@ -109,7 +109,7 @@ def rendered(v):
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def render_json(text: pd.Series) -> pd.Series:
     """A JSON text as it reads back once stored: cleaned, arrays by the array rule; null if nothing is left."""
 
@@ -132,7 +132,7 @@ def assemble(leaf: DataFrame, levels: int = 1, at: str = "") -> DataFrame:
     rest = F.array_join(F.expr(f"slice(split(path, '/'), {levels + 1}, size(split(path, '/')))"), "/")
     rows = below.groupBy("db", head.alias("path")).agg(F.sort_array(F.collect_list(F.struct(rest.alias("p"), F.col("value").alias("v")))).alias("items"))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def build(items: pd.Series) -> pd.Series:
         return items.map(lambda xs: dump(nested([(x["p"], x["v"]) for x in xs])))
 
@@ -164,7 +164,7 @@ def push_id_like(key: Column) -> Column:
 def value_size(json_col: Column) -> Column:
     """Byte estimate of a value (null 4, bool 5, number 12, string its bytes + 2, containers by their parts)."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(T.LongType())
     def size(text: pd.Series) -> pd.Series:
         def of(v):
             if v is None:
@@ -186,7 +186,7 @@ def value_size(json_col: Column) -> Column:
 def value_depth(json_col: Column) -> Column:
     """0 for scalars, else one more than the deepest part; null if no JSON."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def depth(text: pd.Series) -> pd.Series:
         def of(v):
             return 1 + max((of(x) for _, x in children(v)), default=0) if isinstance(v, (dict, list)) else 0
@@ -235,7 +235,7 @@ def canonical(v) -> str:
     return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(v[k])}" for k in keys) + "}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def native_hash(text: pd.Series) -> pd.Series:
     """SHA-256 (hex) of the RFC 8785 text; null for text that is no JSON."""
     return text.map(lambda t: None if (v := parse(t)) is INVALID else hashlib.sha256(canonical(v).encode("utf-8", "replace")).hexdigest())
@@ -282,7 +282,7 @@ def sdk_hash_of(v) -> str:
     return base64.b64encode(hashlib.sha1(body.encode("utf-8", "replace")).digest()).decode()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sdk_hash(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if (v := parse(t)) is INVALID else sdk_hash_of(v))
 
