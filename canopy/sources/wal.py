@@ -18,7 +18,7 @@ def read_log(spark: SparkSession, folder: str, after: int | None = None, upto: i
     Lines are numbered by file offset order: each file is one unsplit text (they rotate at
     5 MiB). Broken lines come back with a null op; :func:`check` says whether that is fatal.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.wal").text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.wal$", 1).cast("bigint").alias("sequence"), "value")
+    files = spark.read.option("pathGlobFilter", "*.wal").text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.wal$", 1).cast("bigint").alias("sequence"), "value")
     if after is not None:
         files = files.filter(F.col("sequence") > after)
     if upto is not None:
