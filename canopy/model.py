@@ -20,7 +20,7 @@ NULL, FALSE, TRUE, NUMBER, STRING, CONTAINER = range(6)
 
 def trimmed(path: Column) -> Column:
     """A path without outer slashes; inner empty segments stay."""
-    return F.regexp_replace(path, "^/+|/+$", "")
+    return F.btrim(path, F.lit("/"))
 
 
 def normalized(path: Column) -> Column:
@@ -40,13 +40,13 @@ def joined(base: Column, child: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """The parent path; null for the root."""
-    s = segments(path)
-    return F.when(F.size(s) > 0, F.array_join(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), "/"))
+    t = trimmed(path)
+    return F.when(t != "", F.substring(t, F.lit(1), F.greatest(F.length(t) - F.length(F.substring_index(t, "/", -1)) - 1, F.lit(0))))
 
 
 def last_segment(path: Column) -> Column:
-    s = segments(path)
-    return F.when(F.size(s) > 0, F.element_at(s, -1))
+    t = trimmed(path)
+    return F.when(t != "", F.substring_index(t, "/", -1))
 
 
 def is_ancestor(a: Column, b: Column) -> Column:
@@ -62,11 +62,24 @@ def relative_to(path: Column, ancestor: Column) -> Column:
     return F.when(p == a, F.lit("")).when(is_ancestor(a, p), rest)
 
 
+def depth(trimmed_path: Column) -> Column:
+    """The number of segments of a path without outer slashes."""
+    return F.when(trimmed_path == "", 0).otherwise(F.length(trimmed_path) - F.length(F.replace(trimmed_path, F.lit("/"), F.lit(""))) + 1)
+
+
 def prefixes(path: Column, strict: bool = False) -> Column:
-    """All ancestors of a path from the root on, and itself unless ``strict``."""
-    s = segments(path)
-    every = F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.array_join(F.slice(s, 1, i), "/"))
-    return F.slice(every, 1, F.size(s)) if strict else every
+    """All ancestors of a path from the root on, and itself unless ``strict``.
+
+    The outer one-element transform binds the trimmed path, so it is made once per row.
+    """
+
+    def of(p):
+        n = depth(p)
+        first = lambda i: F.call_function("substring_index", p, F.lit("/"), i)
+        every = F.transform(F.sequence(F.lit(0), n - 1 if strict else n), first)
+        return F.when(n > 0, every).otherwise(F.array().cast("array<string>")) if strict else every
+
+    return F.transform(F.array(trimmed(path)), of)[0]
 
 
 def matches_pattern(path: Column, pattern: Column) -> Column:

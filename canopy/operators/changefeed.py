@@ -20,9 +20,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy import model
 from canopy.functions.jsontext import INVALID, dump, has_leaf, leaves, parse, safe
 from canopy.session import run_dir, written
 
@@ -150,17 +151,6 @@ def stream_state(
     return latest(upserts)
 
 
-def _strict_prefixes(path: Column) -> Column:
-    """Ancestors of a path without outer slashes, root first; none for the root itself."""
-    parts = F.split(path, "/")
-    every = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    return F.when(path == "", F.array().cast("array<string>")).otherwise(every)
-
-
-def _depth(path: Column) -> Column:
-    return F.when(path == "", 0).otherwise(F.size(F.split(path, "/")))
-
-
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
     names = [*DB, "base", "sequence", "line_no", "idx", "path", "value"]
@@ -188,9 +178,9 @@ def resolve(state: DataFrame) -> DataFrame:
        below which something was written later.
     """
     t = state.select(*DB, "path", F.struct("last.sequence", "last.line_no", "last.idx").alias("pos"), "last.payload", "wrote")
-    shallow = _depth(F.col("path")) < SALTED_DEPTH
+    shallow = model.depth(F.col("path")) < SALTED_DEPTH
 
-    below = t.select(*DB, F.col("path").alias("d_path"), F.col("pos").alias("d_pos"), "wrote", F.explode(_strict_prefixes(F.col("path"))).alias("path"))
+    below = t.select(*DB, F.col("path").alias("d_path"), F.col("pos").alias("d_pos"), "wrote", F.explode(model.prefixes(F.col("path"), strict=True)).alias("path"))
     below_salted = below.withColumn("salt", F.when(shallow, F.pmod(F.xxhash64("d_path"), F.lit(SALTS)).cast("int")).otherwise(0))
     above = t.select(*DB, "path", "pos", F.explode(F.when(shallow, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     met = below_salted.join(above, [*DB, "path", "salt"])
@@ -210,9 +200,8 @@ def resolve(state: DataFrame) -> DataFrame:
     mixed = flatten(live.filter("mixed"))
 
     pos = F.struct("sequence", "line_no", "idx")
-    inner = F.expr(
-        "transform(sequence(size(split(base, '/')) - if(base = '', 1, 0) + 1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))"
-    )
+    # the leaf's ancestors below its payload's root, and itself
+    inner = F.slice(model.prefixes(F.col("path")), model.depth(F.col("base")) + 2, F.lit(1 << 20))
     steps = mixed.filter(F.col("path") != F.col("base")).select(*DB, F.col("path").alias("leaf"), pos.alias("l_pos"), F.explode(inner).alias("path"))
     replaced = steps.join(t.select(*DB, "path", "pos"), [*DB, "path"]).filter(F.col("pos") > F.col("l_pos")).select(*DB, F.col("leaf").alias("path"), "l_pos")
     overgrown = below.filter(F.col("wrote").isNotNull()).groupBy(*DB, "path").agg(F.max("wrote").alias("wrote"))

@@ -141,8 +141,8 @@ def assemble(leaf: DataFrame, levels: int = 1, at: str = "") -> DataFrame:
 
 def array_shape(leaf: DataFrame) -> DataFrame:
     """db, parent, children, max_index, is_array of every container, by aggregation only."""
-    steps = leaf.filter("path <> ''").select("db", F.explode(F.slice(model.prefixes(F.col("path")), 2, 1 << 20)).alias("path"))
-    kids = steps.distinct().select("db", model.parent(F.col("path")).alias("parent"), model.last_segment(F.col("path")).alias("key"))
+    steps = leaf.filter("path <> ''").select("db", F.explode(model.prefixes(F.col("path"))).alias("path"))
+    kids = steps.filter("path <> ''").distinct().select("db", model.parent(F.col("path")).alias("parent"), model.last_segment(F.col("path")).alias("key"))
     canonical = F.rlike("key", F.lit("^(0|[1-9][0-9]{0,18})$"))
     number = F.when(canonical, F.col("key").try_cast("decimal(20,0)"))
     g = kids.groupBy("db", "parent").agg(F.count("*").alias("children"), F.max(number).cast("bigint").alias("max_index"), F.min(canonical).alias("all_int"))
@@ -151,8 +151,8 @@ def array_shape(leaf: DataFrame) -> DataFrame:
 
 def structural_fields(leaf: DataFrame) -> DataFrame:
     """Distinct keys of objects that hold no push-id-like key."""
-    steps = leaf.filter("path <> ''").select("db", F.explode(F.slice(model.prefixes(F.col("path")), 2, 1 << 20)).alias("path"))
-    kids = steps.distinct().select("db", model.parent(F.col("path")).alias("parent"), model.last_segment(F.col("path")).alias("key"))
+    steps = leaf.filter("path <> ''").select("db", F.explode(model.prefixes(F.col("path"))).alias("path"))
+    kids = steps.filter("path <> ''").distinct().select("db", model.parent(F.col("path")).alias("parent"), model.last_segment(F.col("path")).alias("key"))
     plain = kids.groupBy("db", "parent").agg(F.max(push_id_like(F.col("key"))).alias("c")).filter(~F.col("c")).select("db", "parent")
     return kids.join(plain, ["db", "parent"], "left_semi").select("key").distinct()
 

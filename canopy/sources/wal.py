@@ -31,10 +31,16 @@ def read_log(spark: SparkSession, folder: str, after: int | None = None, upto: i
 
 
 def gaps(sequences: DataFrame, least: int | None = None) -> DataFrame:
-    """(missing_from, missing_to) between the distinct sequences of a log; also before the first if ``least`` is given."""
+    """(missing_from, missing_to) between the distinct sequences of a log; also before the first if ``least`` is given.
+
+    Anti-joins leave only the ends of unbroken runs, so the ordered step sees a row or
+    two per gap, however many files there are.
+    """
     s = sequences.select("sequence").distinct()
-    prev = F.lag("sequence").over(Window.orderBy("sequence"))  # one row per log file
-    g = s.select("sequence", prev.alias("prev"))
+    starts = s.join(s.select((F.col("sequence") + 1).alias("sequence")), "sequence", "left_anti").withColumn("end", F.lit(False))
+    ends = s.join(s.select((F.col("sequence") - 1).alias("sequence")), "sequence", "left_anti").withColumn("end", F.lit(True))
+    edges = starts.unionByName(ends)
+    g = edges.select("sequence", "end", F.lag("sequence").over(Window.orderBy("sequence", "end")).alias("prev")).filter(~F.col("end"))
     first = F.lit(least - 1).cast("bigint") if least is not None else F.lit(None).cast("bigint")
     g = g.withColumn("prev", F.coalesce("prev", first))
     return g.filter(F.col("sequence") > F.col("prev") + 1).select((F.col("prev") + 1).alias("missing_from"), (F.col("sequence") - 1).alias("missing_to"))
