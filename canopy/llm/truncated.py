@@ -32,7 +32,8 @@ BLOCK, JSON, CODE, QUOTE, CLOSED, MARK = "\ue000", "\ue001", "\ue002", "\ue003",
 SPECIAL = "[\ue000-\ue00f]"
 #: (pattern, replacement), in this order. None repeats a group or rescans a run, so long texts take linear time.
 STEPS = [
-    (SPECIAL, " "),
+    ("[\u200b\u200c\u200d\u2060\ufeff]", ""),
+    (f"{SPECIAL}|[\u00a0\u2000-\u200a\u202f\u3000]", " "),
     (r"\r\n?", "\n"),
     (r"(?m)^[ \t]*[•☐*-][ \t]+|[ \t]*✅[ \t]*$", ""),
     (r"(?s)```.*?```", f" {BLOCK} {CLOSED} "),
