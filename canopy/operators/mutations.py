@@ -37,7 +37,8 @@ def dedup(writes: DataFrame, keys: tuple[str, ...] = ("client", "request_id")) -
 def untainted(writes: DataFrame, nacked: DataFrame, pending: str = "pending") -> DataFrame:
     """Writes whose list of pending requests holds no request of the client that was refused before."""
     ids = writes.filter(F.size(pending) > 0).select("client", "seq", F.explode(pending).alias("request_id"))
-    bad = ids.join(nacked.select("client", "request_id", F.col("seq").alias("n_seq")), ["client", "request_id"]).filter("n_seq < seq").select("client", "seq").distinct()
+    refused = nacked.groupBy("client", "request_id").agg(F.min("seq").alias("n_seq"))
+    bad = ids.join(refused, ["client", "request_id"]).filter("n_seq < seq").select("client", "seq").distinct()
     return writes.join(bad, ["client", "seq"], "left_anti")
 
 
@@ -152,13 +153,16 @@ def on_disconnect(registrations: DataFrame, leaves_: DataFrame) -> DataFrame:
     ``leaves_``: client, seq, ts_ms of each disconnect. A registration fires once, at the
     first disconnect after it, unless a cancel of its path came between.
     """
-    r = registrations.withColumn("path", model.trimmed(F.col("path")))
-    acts, cancels = r.filter("op <> 'c'"), r.filter("op = 'c'").select("client", "path", F.col("seq").alias("c_seq"))
-    fired = acts.join(leaves_.select("client", F.col("seq").alias("d_seq"), "ts_ms"), "client").filter("d_seq > seq")
-    first = fired.groupBy("client", "seq", "op", "path", "value").agg(F.min_by(F.struct("d_seq", "ts_ms"), "d_seq").alias("d"))
-    j = first.join(cancels, ["client", "path"], "left").withColumn("__c", F.coalesce((F.col("c_seq") > F.col("seq")) & (F.col("c_seq") < F.col("d.d_seq")), F.lit(False)))
-    kept = j.groupBy("client", "seq", "op", "path", "value", "d").agg(F.max("__c").alias("cancelled")).filter("not cancelled")
-    return kept.select("client", F.col("d.d_seq").alias("seq"), F.row_number().over(Window.partitionBy("client", "d.d_seq").orderBy("seq")).alias("idx"), "op", "path", server_values(F.col("value"), F.col("d.ts_ms")).alias("value"))
+    r = registrations.select("client", F.col("seq").cast("long").alias("seq"), "op", model.trimmed(F.col("path")).alias("path"), "value", F.lit(None).cast("struct<d_seq: long, ts_ms: long>").alias("d"))
+    d = leaves_.select("client", F.col("seq").cast("long").alias("seq"), *[F.lit(None).cast("string").alias(c) for c in ("op", "path", "value")], F.struct(F.col("seq").cast("long").alias("d_seq"), F.col("ts_ms").cast("long").alias("ts_ms")).alias("d"))
+    # one ordered pass each finds the next disconnect of the client and the next cancel of the path
+    ahead = Window.partitionBy("client").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    same = Window.partitionBy("client", "path").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    nexts = r.unionByName(d).withColumn("at", F.first("d", ignorenulls=True).over(ahead)).filter(F.col("op").isNotNull())
+    cancel = F.first(F.when(F.col("op") == "c", F.col("seq")), ignorenulls=True).over(same)
+    kept = nexts.withColumn("cancel", cancel).filter((F.col("op") != "c") & F.col("at").isNotNull() & (F.col("cancel").isNull() | (F.col("cancel") > F.col("at.d_seq"))))
+    idx = F.row_number().over(Window.partitionBy("client", "at.d_seq").orderBy("seq"))
+    return kept.select("client", F.col("at.d_seq").alias("seq"), idx.alias("idx"), "op", "path", server_values(F.col("value"), F.col("at.ts_ms")).alias("value"))
 
 
 def rate_limited(writes: DataFrame, key: str, ts_s: str, size: str) -> DataFrame:

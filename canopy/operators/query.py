@@ -189,6 +189,19 @@ class TreeQuery:
         return df.drop("__s", "__k")
 
 
+    def result(self, children: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+        """One row: the surviving children as one JSON value by the array rule, null if there are none.
+
+        What one read returns is bounded (256 MiB), and a limit bounds it further.
+        """
+        from canopy.operators.tree import render_json
+
+        kept = self.apply(children, key, value).filter(F.col(value).isNotNull())
+        pair = F.concat(F.expr(f"substring(to_json(array(cast(`{key}` as string))), 2, length(to_json(array(cast(`{key}` as string)))) - 2)"), F.lit(":"), F.col(value))
+        body = kept.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ","), F.lit("}")).alias("json"))
+        return body.select(render_json("json").alias("value"))
+
+
 def _limit(n: int) -> int:
     if n > LIMIT_MAX:
         raise ValueError(f"limit above {LIMIT_MAX}")

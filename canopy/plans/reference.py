@@ -14,6 +14,7 @@ from canopy.operators.query import TreeQuery, views_diff
 from canopy.rules.compiler import utf16_length
 from canopy.rules.engine import Rules, can_read
 from canopy.session import epoch_seconds, run_dir, table
+from canopy.sources import rest
 from canopy.streaming import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,6 +365,64 @@ def live_view_events(spark, sf):
     return views.run_available(views.live_views(stream, {"top": TreeQuery().order_by_value().limit_to_last(3)}), at)
 
 
+@query("SELECT e.event_id, MIN(s.event_id) AS fired FROM events e JOIN events s ON s.user_id = e.user_id AND s.event_type = 'signup' AND s.event_id > e.event_id WHERE e.event_type = 'click' GROUP BY 1")
+def on_disconnect_fire(spark, sf):
+    """Clicks register deferred writes; the user's next sign-up stands for the disconnect that fires them."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), "event_type")
+    reg = e.filter("event_type = 'click'").select("client", "seq", F.lit("s").alias("op"), F.col("seq").cast("string").alias("path"), F.lit("1").alias("value"))
+    gone = e.filter("event_type = 'signup'").select("client", "seq", F.lit(0).alias("ts_ms"))
+    return mutations.on_disconnect(reg, gone).select(F.col("path").cast("bigint").alias("event_id"), F.col("seq").alias("fired"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'view' THEN 'o' WHEN 'click' THEN 'u' WHEN 'error' THEN 'd' ELSE 's' END AS op, CASE WHEN event_type IN ('view', 'error') THEN NULL ELSE props END AS value FROM events")
+def rest_operations(spark, sf):
+    """Events as REST requests, mapped to operations."""
+    e = table(spark, sf, "events")
+    method = F.create_map(*[F.lit(x) for x in ("view", "GET", "click", "PATCH", "error", "DELETE", "signup", "POST", "purchase", "PUT")])[F.col("event_type")]
+    r = e.select(F.col("event_id").alias("request_id"), method.alias("method"), F.concat(F.lit("/u/"), "user_id", F.lit(".json")).alias("path"), F.col("props").alias("body"), F.lit(1_700_000_000_000).alias("ts_ms"), F.lit(None).cast("string").alias("if_match"))
+    return rest.to_operations(r).select(F.col("request_id").alias("event_id"), "op", "value")
+
+
+@query("SELECT event_id, 'event: put' || chr(10) || 'data: {\"path\":\"/u/' || user_id || '\",\"data\":' || props || '}' || chr(10) || chr(10) AS text FROM events WHERE props IS NOT NULL")
+def sse_text(spark, sf):
+    """Event-stream text of one put per event."""
+    e = table(spark, sf, "events").filter("props is not null")
+    return e.select("event_id", rest.sse(F.lit("put"), F.concat(F.lit("/u/"), "user_id"), F.col("props")).alias("text"))
+
+
+@query()
+def compaction(spark, sf):
+    """A snapshot of the first log files with the rest applied on top."""
+    from canopy.operators import changefeed
+    from canopy.sources import wal
+
+    feed = table(spark, sf, "wal_entries")
+    return wal.compact(spark, changefeed.state_at(feed, 20), feed.filter("sequence > 20")).select("project_id", "database_id", "path", "value")
+
+
+@query("SELECT project_id, database_id, lo + 1 AS missing_from, sequence - 1 AS missing_to FROM (SELECT project_id, database_id, sequence, LAG(sequence) OVER (PARTITION BY project_id, database_id ORDER BY sequence) AS lo FROM (SELECT DISTINCT project_id, database_id, sequence FROM wal_entries)) WHERE sequence > lo + 1")
+def log_gaps(spark, sf):
+    """Missing log files between those that are there, per database."""
+    from canopy.sources import wal
+
+    return wal.gaps(table(spark, sf, "wal_entries"), keys=("project_id", "database_id"))
+
+
+@query()
+def rate_limit(spark, sf):
+    """Writes of each database against the token bucket, by the bytes of their values scaled up."""
+    w = table(spark, sf, "wal_entries").select("entry_id", F.concat_ws("/", "project_id", "database_id").alias("db"), epoch_seconds(F.col("received_at")).alias("t"), (F.coalesce(F.octet_length("value"), F.lit(0)).cast("bigint") * (1 << 20)).alias("bytes"))
+    return mutations.rate_limited(w, "db", "t", "bytes").select("entry_id", "allowed")
+
+
+@query("SELECT COUNT(*) AS children FROM part WHERE p_size = 7")
+def query_result(spark, sf):
+    """The children that survive a query as one JSON object; here its number of keys."""
+    p = table(spark, sf, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"), F.to_json(F.struct("p_size", "p_name")).alias("value"))
+    one = TreeQuery().order_by_child("p_size").equal_to(7).result(p)
+    return one.select(F.size(F.json_object_keys("value")).cast("bigint").alias("children"))
+
+
 # rules --------------------------------------------------------------------------------
 
 _RULES = {"rules": {"$id": {".read": "auth != null && (auth.uid === $id || $id.matches(/^.*7$/) || root.child('vip/' + $id).exists())"}}}

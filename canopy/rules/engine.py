@@ -22,6 +22,8 @@ from canopy.operators.tree import flatten_json
 from canopy.rules import syntax
 from canopy.rules.compiler import Compiler, Val, literal, null, of_number, of_string, of_struct
 
+#: Strings over this many bytes read as null in a rule.
+VAL_BYTES = 100 << 10
 NODE = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("num", T.DoubleType()), T.StructField("str", T.StringType())])
 
 
@@ -132,7 +134,7 @@ def _answer(requests: DataFrame, leaf: DataFrame, lookups) -> DataFrame:
             box = F.struct(F.lit(CONTAINER).alias("rank"), F.lit(0.0).alias("num"), F.lit("").alias("str"))
             wrote = _node_in(F.col("value"), F.lit("")).getField("rank") != NULL
             node = F.when(below, made).when(model.is_ancestor(F.col("__p"), at) & wrote, box).otherwise(F.col("__d"))
-        out = out.withColumn(f"__n{i}", node).drop("__p", "__d")
+        out = out.withColumn(f"__n{i}", F.when(F.octet_length(node.getField("str")) <= VAL_BYTES, node)).drop("__p", "__d")
     return out
 
 

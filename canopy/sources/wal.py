@@ -30,20 +30,22 @@ def read_log(spark: SparkSession, folder: str, after: int | None = None, upto: i
     return lines.select("sequence", (F.col("at") + 1).cast("int").alias("line_no"), get("o").alias("op"), get("p").alias("path"), value.alias("value"), "line")
 
 
-def gaps(sequences: DataFrame, least: int | None = None) -> DataFrame:
-    """(missing_from, missing_to) between the distinct sequences of a log; also before the first if ``least`` is given.
+def gaps(log: DataFrame, least: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys``, missing_from and missing_to between the distinct sequences of each log; also before the first if ``least`` is given.
 
     Anti-joins leave only the ends of unbroken runs, so the ordered step sees a row or
     two per gap, however many files there are.
     """
-    s = sequences.select("sequence").distinct()
-    starts = s.join(s.select((F.col("sequence") + 1).alias("sequence")), "sequence", "left_anti").withColumn("end", F.lit(False))
-    ends = s.join(s.select((F.col("sequence") - 1).alias("sequence")), "sequence", "left_anti").withColumn("end", F.lit(True))
+    on = [*keys, "sequence"]
+    s = log.select(*on).distinct()
+    shifted = lambda by: s.select(*keys, (F.col("sequence") + by).alias("sequence"))
+    starts = s.join(shifted(1), on, "left_anti").withColumn("end", F.lit(False))
+    ends = s.join(shifted(-1), on, "left_anti").withColumn("end", F.lit(True))
     edges = starts.unionByName(ends)
-    g = edges.select("sequence", "end", F.lag("sequence").over(Window.orderBy("sequence", "end")).alias("prev")).filter(~F.col("end"))
+    g = edges.select(*on, "end", F.lag("sequence").over(Window.partitionBy(*keys).orderBy("sequence", "end")).alias("prev")).filter(~F.col("end"))
     first = F.lit(least - 1).cast("bigint") if least is not None else F.lit(None).cast("bigint")
     g = g.withColumn("prev", F.coalesce("prev", first))
-    return g.filter(F.col("sequence") > F.col("prev") + 1).select((F.col("prev") + 1).alias("missing_from"), (F.col("sequence") - 1).alias("missing_to"))
+    return g.filter(F.col("sequence") > F.col("prev") + 1).select(*keys, (F.col("prev") + 1).alias("missing_from"), (F.col("sequence") - 1).alias("missing_to"))
 
 
 def check(log: DataFrame, least: int | None = None) -> DataFrame:
