@@ -49,8 +49,9 @@ STEPS = [
     (r"\d[\d.,:]*(?<=\d)", "0"),
     (r"[…。！？\n]|\.{2,}|[.!?]+(?=\s|\z)", f" {MARK} "),
     (r"([,;:()\[\]{}])(?=\s|\z)|(?<=\s)([(\[{])", " $1$2 "),
-    (r"(?<=\p{IsHan})(?=[\p{IsHiragana}\p{IsKatakana}])|(?<=[\p{IsHiragana}ー])(?=[\p{IsHan}\p{IsKatakana}])|(?<=[\p{IsKatakana}ー])(?=[\p{IsHan}\p{IsHiragana}])", " "),
 ]
+#: Where the script changes, a word of a text without spaces ends.
+SCRIPTS = r"(?<=\p{IsHan})(?=[\p{IsHiragana}\p{IsKatakana}])|(?<=[\p{IsHiragana}ー])(?=[\p{IsHan}\p{IsKatakana}])|(?<=[\p{IsKatakana}ー])(?=[\p{IsHan}\p{IsHiragana}])"
 WORD_LENGTH = 64
 #: A trigram is frequent from so many positions on, and almost never terminal up to this share.
 FREQUENT, TERMINAL_SHARE = 5, 0.05
@@ -60,7 +61,7 @@ def normalised(text: Column) -> Column:
     out = F.lower(F.regexp_replace(text, r"(?<!\s)\s+\z", ""))
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
-    return out
+    return F.when(F.rlike(text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")), F.regexp_replace(out, SCRIPTS, " ")).otherwise(out)
 
 
 def _sentences(text: Column) -> Column:
@@ -69,27 +70,33 @@ def _sentences(text: Column) -> Column:
     return F.transform(cut, lambda s: F.transform(s, lambda w: F.substring(w, 1, WORD_LENGTH)))
 
 
-def _gram(words: Column, i: Column) -> list[Column]:
-    """w1, w2, w3 ending at 1-based ``i`` (padded with ''), and the opening."""
-    at = lambda k: F.when(k >= 1, F.get(words, k - 1)).otherwise(F.lit(""))
-    return [at(i - 2).alias("w1"), at(i - 1).alias("w2"), at(i).alias("w3"), F.array_join(F.slice(words, 1, 2), " ").alias("opening")]
+def _padded(words: Column) -> Column:
+    return F.concat(F.array(F.lit(""), F.lit("")), words)
+
+
+def _opening(words: Column) -> Column:
+    """A sentence's first two words."""
+    return F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
 
 
 def trigrams(docs: DataFrame, text: str) -> DataFrame:
     """Counts of all texts: opening, w1, w2, w3, inside, marked (a mark follows), last (the text ends)."""
     s = docs.filter(F.trim(F.col(text)) != "").select(_sentences(F.col(text)).alias("s"))
     flat = s.select(F.size("s").alias("n"), F.posexplode("s").alias("k", "words")).filter(F.size("words") > 0)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct(*_gram(F.col("words"), i), i.alias("i")))
-    rows = flat.select("n", "k", F.size("words").alias("size"), F.explode(grams).alias("g"))
+    flat = flat.select("n", "k", F.size("words").alias("size"), _opening(F.col("words")).alias("opening"), _padded(F.col("words")).alias("p"))
+    word = lambda i: F.get(F.col("p"), i)
+    grams = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: F.struct(word(i - 1).alias("w1"), word(i).alias("w2"), word(i + 1).alias("w3"), i.alias("i")))
+    rows = flat.select("n", "k", "size", "opening", F.explode(grams).alias("g"))
     ends, text_ends = F.col("g.i") == F.col("size"), F.col("k") == F.col("n") - 1
     one = lambda c: F.sum(F.when(c, F.lit(1)).otherwise(0))
-    return rows.groupBy("g.opening", "g.w1", "g.w2", "g.w3").agg(one(~ends).alias("inside"), one(ends & ~text_ends).alias("marked"), one(ends & text_ends).alias("last"))
+    return rows.groupBy("opening", "g.w1", "g.w2", "g.w3").agg(one(~ends).alias("inside"), one(ends & ~text_ends).alias("marked"), one(ends & text_ends).alias("last"))
 
 
 def finals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and final trigram of each text that ends without a mark."""
     s = docs.filter(F.trim(F.col(text)) != "").select(F.col(doc_id).alias("doc_id"), F.element_at(_sentences(F.col(text)), -1).alias("words")).filter(F.size("words") > 0)
-    return s.select("doc_id", *_gram(F.col("words"), F.size("words")))
+    p, n = _padded(F.col("words")), F.size("words")
+    return s.select("doc_id", *[F.get(p, n - 1 + i).alias(f"w{i + 1}") for i in range(3)], _opening(F.col("words")).alias("opening"))
 
 
 LEVELS = (["opening", "w1", "w2", "w3"], ["w1", "w2", "w3"], ["w2", "w3"], ["w3"])
