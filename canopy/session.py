@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_RUNS: list[tuple[SparkSession, str]] = []
+
 
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
@@ -47,8 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of :func:`shared_dir` for one run of one operator."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of :func:`shared_dir` for one run of one operator, removed when Python ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _RUNS:
+        atexit.register(_remove_runs)
+    _RUNS.append((spark, at))
+    return at
+
+
+def _remove_runs() -> None:
+    """Results are read lazily, so their folders can only go at the very end."""
+    for spark, at in _RUNS:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session is gone: leave the folder
+            return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

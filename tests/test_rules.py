@@ -59,7 +59,9 @@ def test_expressions(spark):
         "3 // no comment here\n": None,
     }
     good = {e: w for e, w in cases.items() if w is not None}
-    assert dict(zip(good, evaluate(spark, list(good)), strict=True)) == good
+    for i in range(0, len(good), 8):
+        part = list(good)[i : i + 8]
+        assert dict(zip(part, evaluate(spark, part), strict=True)) == {e: good[e] for e in part}
 
 
 def test_syntax_errors():
