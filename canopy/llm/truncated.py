@@ -81,7 +81,16 @@ def _opening(words: Column) -> Column:
 
 def trigrams(docs: DataFrame, text: str) -> DataFrame:
     """Counts of all texts: opening, w1, w2, w3, inside, marked (a mark follows), last (the text ends)."""
-    s = docs.filter(F.trim(F.col(text)) != "").select(_sentences(F.col(text)).alias("s"))
+    return _counted(sentences(docs, None, text))
+
+
+def sentences(docs: DataFrame, doc_id: str | None, text: str) -> DataFrame:
+    """doc_id (if named) and the sentences ``s`` of each text that is not blank, as arrays of words."""
+    keep = [F.col(doc_id).alias("doc_id")] if doc_id else []
+    return docs.filter(F.trim(F.col(text)) != "").select(*keep, _sentences(F.col(text)).alias("s"))
+
+
+def _counted(s: DataFrame) -> DataFrame:
     flat = s.select(F.size("s").alias("n"), F.posexplode("s").alias("k", "words")).filter(F.size("words") > 0)
     flat = flat.select("n", "k", F.size("words").alias("size"), _opening(F.col("words")).alias("opening"), _padded(F.col("words")).alias("p"))
     word = lambda i: F.get(F.col("p"), i)
@@ -92,11 +101,11 @@ def trigrams(docs: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("opening", "g.w1", "g.w2", "g.w3").agg(one(~ends).alias("inside"), one(ends & ~text_ends).alias("marked"), one(ends & text_ends).alias("last"))
 
 
-def finals(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id and final trigram of each text that ends without a mark."""
-    s = docs.filter(F.trim(F.col(text)) != "").select(F.col(doc_id).alias("doc_id"), F.element_at(_sentences(F.col(text)), -1).alias("words")).filter(F.size("words") > 0)
+def finals(s: DataFrame) -> DataFrame:
+    """doc_id and final trigram of each text of :func:`sentences` that ends without a mark."""
+    ends = s.select("doc_id", F.element_at("s", -1).alias("words")).filter(F.size("words") > 0)
     p, n = _padded(F.col("words")), F.size("words")
-    return s.select("doc_id", *[F.get(p, n - 1 + i).alias(f"w{i + 1}") for i in range(3)], _opening(F.col("words")).alias("opening"))
+    return ends.select("doc_id", *[F.get(p, n - 1 + i).alias(f"w{i + 1}") for i in range(3)], _opening(F.col("words")).alias("opening"))
 
 
 LEVELS = (["opening", "w1", "w2", "w3"], ["w1", "w2", "w3"], ["w2", "w3"], ["w3"])
@@ -118,8 +127,9 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count
     A final trigram is judged by the finest counts that know it: with its sentence's
     opening, alone, then its last two words, then its last word.
     """
-    counts = counts if counts is not None else written(trigrams(docs, text), "trigrams")
-    ends = written(finals(docs, doc_id, text), "finals")
+    words = written(sentences(docs, doc_id, text), "sentences")  # normalised once, read twice
+    counts = counts if counts is not None else written(_counted(words), "trigrams")
+    ends = written(finals(words), "finals")
     kinds = ends.groupBy("opening", "w1", "w2", "w3").agg(F.count("*").alias("texts"))
     judged, inside, word = kinds, [], []
     for n, keys in enumerate(LEVELS):
