@@ -55,6 +55,8 @@ SCRIPTS = r"(?<=\p{IsHan})(?=[\p{IsHiragana}\p{IsKatakana}])|(?<=[\p{IsHiragana}
 WORD_LENGTH = 64
 #: A trigram is frequent from so many positions on, and almost never terminal up to this share.
 FREQUENT, TERMINAL_SHARE = 5, 0.05
+#: A block, code or quote left open ends no whole text, so it may end up to this share of those opened (all cut).
+OPEN_SHARE = 0.5
 
 
 def normalised(text: Column) -> Column:
@@ -138,7 +140,8 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count
         own = level.select(*keys, F.col("inside").alias(f"in{n}"), (F.col("marked") + F.col("last") - 1).alias(f"end{n}"))
         judged = judged.join(own, keys, "left")
         total = F.col(f"in{n}") + F.col(f"end{n}")
-        verdict = (F.col(f"in{n}") >= FREQUENT) & (F.col(f"end{n}") <= TERMINAL_SHARE * total)
+        share = F.when(F.col("w3").isin(BLOCK, JSON, CODE, QUOTE), OPEN_SHARE).otherwise(TERMINAL_SHARE)
+        verdict = (F.col(f"in{n}") >= FREQUENT) & (F.col(f"end{n}") <= share * total)
         known = (total >= FREQUENT) & (F.col(f"in{n}") > 0) if n == 0 else total >= FREQUENT
         inside.append((known, verdict))
         if n:
