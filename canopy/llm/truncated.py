@@ -16,8 +16,9 @@ frequent after the same two words. Trigrams too rare to judge fall back to their
 two words, then to the last. A text that ends in half a character is a cut as well.
 
 Defined results: null, empty and blank texts are no cases; texts that end with a mark
-outside an open block trail off or end and are no cases; repeated texts are judged
-each. Words are compared by their first 64 characters.
+outside an open block trail off or end and are no cases; exact copies of a text count
+and are judged once, and the verdict holds for each. Words are compared by their first
+64 characters.
 """
 
 from __future__ import annotations
@@ -125,11 +126,13 @@ def _begun(level: DataFrame, context: list[str], wanted: DataFrame) -> DataFrame
 def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """doc_id and reason: ``inside`` (stops in a sentence or block), ``word`` (in a word), ``char`` (in a character, or at a bare list mark).
 
-    ``counts`` is the table of :func:`trigrams`, written; without it, it is made and written here.
-    A final trigram is judged by the finest counts that know it: with its sentence's
+    ``counts`` is the table of :func:`trigrams` of the distinct texts, written; without it, it is made and written here.
+    Copies are no evidence of each other: all counts are over distinct texts. A final trigram is judged by the finest counts that know it: with its sentence's
     opening, alone, then its last two words, then its last word.
     """
-    words = written(sentences(docs, doc_id, text), "sentences")  # normalised once, read twice
+    keyed = docs.filter(F.trim(F.col(text)) != "").select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    distinct = keyed.select("text").distinct().withColumn("copy", F.sha2("text", 256))
+    words = written(sentences(distinct, "copy", "text"), "sentences")  # normalised once, read twice
     counts = counts if counts is not None else written(_counted(words), "trigrams")
     ends = written(finals(words), "finals")
     kinds = ends.groupBy("opening", "w1", "w2", "w3").agg(F.count("*").alias("texts"))
@@ -157,7 +160,9 @@ def truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count
 
     bad = judged.withColumn("reason", F.when(first_known(inside), "inside").when(first_known(word), "word")).filter("reason is not null").select("opening", "w1", "w2", "w3", "reason")
     torn = docs.filter(F.col(text).rlike(r"(?:\ufffd|\n[ \t]*[•☐*-][ \t]*)\z") & (F.length(text) > 1)).select(F.col(doc_id).alias("doc_id"), F.lit("char").alias("reason"))
-    return ends.join(bad, ["opening", "w1", "w2", "w3"]).select("doc_id", "reason").join(torn, "doc_id", "left_anti").unionByName(torn)
+    found = ends.withColumnRenamed("doc_id", "copy").join(bad, ["opening", "w1", "w2", "w3"]).select("copy", "reason")
+    copies = keyed.select("doc_id", F.sha2("text", 256).alias("copy")).join(found, "copy").select("doc_id", "reason")
+    return copies.join(torn, "doc_id", "left_anti").unionByName(torn)
 
 
 def rates(docs: DataFrame, cut: DataFrame, source: str = "source") -> DataFrame:

@@ -34,6 +34,12 @@ def test_cut_texts(spark):
     ) == ["inside", "word", "word", "inside", "inside", "inside", "char"]
 
 
+def test_copies_of_a_cut_text_are_no_evidence_for_it(spark):
+    cut = ["The night shift moved the", "Please document the limit\n```\npu"]
+    assert reasons(spark, cut * 60) == ["inside"] * 120
+    assert reasons(spark, cut[:1] * 60 + ["And the night shift moved the"]) == ["inside"] * 61
+
+
 def test_whole_texts_and_gaps(spark):
     assert reasons(
         spark,
