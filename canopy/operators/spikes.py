@@ -9,10 +9,12 @@ level is set anew; a run of up to three that returns is a spike. Readings are st
 when the innovation variance of the bare values vanishes: at least ``STUCK`` equal
 readings in a row.
 
-Scale: readings of a source are cut along time into chunks of about ``CHUNK`` readings
-(with a halo on both sides that the filter runs through but does not report), so no
-source is one group. Chunks are dealt to buckets of about ``BUCKET`` readings, and all
-series of a bucket are filtered side by side as numpy columns.
+Scale: sources with more than ``CHUNK`` readings are cut by the rank of the reading into
+equal chunks of at most ``CHUNK``, with a halo of ``HALO`` readings on both sides that is
+run through but not reported, so no source is one group and a gap in time loses no
+context. Stuck runs are sought in chunks of all readings first, then spikes in chunks of
+those that remain usable. Series are dealt to buckets of about ``BUCKET`` readings, and
+all series of a bucket are filtered side by side as numpy columns.
 
 Defined results: null values are no readings; repeated (source, t) must be reduced
 before; sources with fewer than ``LEAST`` usable readings have no spikes; a run at the
@@ -28,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopy.session import placed, written
+
 CHUNK, HALO, BUCKET, SALTS = 4096, 256, 1 << 16, 16
 STUCK, RUN, LEAST = 6, 3, 8
 #: Standardised innovation above which a reading is withheld, and the least scatter of a source (in logarithms).
@@ -37,6 +41,7 @@ LEAST_EFFECT = 0.4
 #: Candidate ratios of the level's walk variance to the noise variance; each source takes the one that forecasts best.
 WALKS = (0.003, 0.05, 0.4)
 FOUND_SCHEMA = "metric string, source string, t long, reason string"
+KEYS = ["metric", "source"]
 
 
 class _Runs:
@@ -196,7 +201,7 @@ def stuck_flags(value, present, active):
     return out
 
 
-def _bucket(table: pa.Table) -> pa.Table:
+def _search(table: pa.Table, stuck_runs: bool = True, spikes: bool = True) -> pa.Table:
     pdf = table.to_pandas()
     pdf = pdf.sort_values(["metric", "source", "chunk", "t"], kind="stable")
     key = pdf.groupby(["metric", "source", "chunk"], sort=False).ngroup().to_numpy()
@@ -220,8 +225,11 @@ def _bucket(table: pa.Table) -> pa.Table:
         t, value, possible, active, idle, core = (grid(c, np.int64 if c in ("t", "value") else bool) for c in ("t", "value", "possible", "active", "idle", "core"))
         present = np.zeros(shape, bool)
         present[at] = True
-        stuck = stuck_flags(value, present, active)
-        for reason, flags in (("impossible", present & ~possible), ("stuck", stuck), ("spike", spike_flags(t, value, present & possible & ~idle & ~stuck))):
+        stuck = stuck_flags(value, present, active) if stuck_runs else np.zeros(shape, bool)
+        found = [("impossible", present & ~possible), ("stuck", stuck)] if stuck_runs else []
+        if spikes:
+            found.append(("spike", spike_flags(t, value, present & possible & ~idle & ~stuck)))
+        for reason, flags in found:
             hit = (flags & core)[at]
             if hit.any():
                 hits.append(pdf.loc[mine, ["metric", "source", "t"]][hit].assign(reason=reason))
@@ -229,6 +237,35 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(out[c].tolist(), pa.int64() if c == "t" else pa.string()) for c in out.columns})
 
 
+def _bucket(table: pa.Table) -> pa.Table:
+    return _search(table)
+
+
+def _stuck_bucket(table: pa.Table) -> pa.Table:
+    return _search(table, spikes=False)
+
+
+def _spike_bucket(table: pa.Table) -> pa.Table:
+    return _search(table, stuck_runs=False)
+
+
+def _found(series: DataFrame, n: int, of=_bucket) -> DataFrame:
+    buckets = max(1, n // BUCKET * 2)
+    dealt = series.withColumn("bucket", F.pmod(F.xxhash64("metric", "source", "chunk"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(of, FOUND_SCHEMA)
+
+
+def _chunked(long: DataFrame) -> DataFrame:
+    """Each reading in its own chunk (``core``) and in those whose halo it belongs to, by its rank in its series."""
+    ranked = placed(long, [*KEYS, "t"], "ranked")
+    per = ranked.groupBy(*KEYS).agg(F.min("place").alias("first"), F.count("*").alias("n")).withColumn("k", F.expr(f"(n + {CHUNK - 1}) div {CHUNK}"))
+    at = ranked.join(F.broadcast(per), KEYS).withColumn("at", F.col("place") - F.col("first"))  # a row per series of a hot source
+    at = at.withColumn("own", F.expr("at * k div n"))
+    halo = F.expr(f"filter(array(own - 1, own, own + 1), c -> c >= 0 and c < k and at >= (c * n + k - 1) div k - {HALO} and at < ((c + 1) * n + k - 1) div k + {HALO})")
+    out = at.withColumn("chunk", F.explode(halo))
+    return out.withColumn("core", F.col("own") == F.col("chunk")).drop("place", "first", "n", "k", "at", "own")
+
+
 def implausible(readings: DataFrame, n: int | None = None) -> DataFrame:
     """(metric, source, t, reason) of every impossible, stuck or spiking reading.
 
@@ -238,25 +275,23 @@ def implausible(readings: DataFrame, n: int | None = None) -> DataFrame:
     """
     known = readings.filter("source is not null and t is not null").select("source", F.col("t").cast("long").alias("t"), F.coalesce("active", F.lit(False)).alias("active"), F.coalesce("idle", F.lit(False)).alias("idle"), "metrics")
     n = known.count() if n is None else n
-    per = known.groupBy("source").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-    per = per.filter(F.col("n") > CHUNK).withColumn("span", F.greatest(F.lit(1), F.floor((F.col("last") - F.col("first") + 1) * CHUNK / F.col("n"))).cast("long"))
-    salted = per.select("source", "first", "span", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spread = known.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
-    placed = spread.join(salted, ["source", "salt"], "left")
-    halo = F.greatest(F.lit(1), F.floor(F.col("span") * HALO / CHUNK)).cast("long")
-    own = F.when(F.col("span").isNull(), F.lit(0).cast("long")).otherwise(F.floor((F.col("t") - F.col("first")) / F.col("span")).cast("long"))
-    chunks = F.when(F.col("span").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-        F.filter(
-            F.array(own - 1, own, own + 1),
-            lambda c: (c >= 0) & (F.col("t") >= F.col("first") + c * F.col("span") - halo) & (F.col("t") < F.col("first") + (c + 1) * F.col("span") + halo),
-        )
-    )
-    cut = placed.select("source", "t", "active", "idle", "metrics", own.alias("own"), F.explode(chunks).alias("chunk"))
-    long = cut.select("source", "t", "active", "idle", "chunk", (F.col("own") == F.col("chunk")).alias("core"), F.explode("metrics").alias("m"))
-    long = long.filter("m.value is not null").select("m.metric", "source", "t", F.col("m.value").cast("long").alias("value"), F.coalesce("m.possible", F.lit(True)).alias("possible"), "active", "idle", "chunk", "core")
-    buckets = max(1, n // BUCKET * 2)
-    dealt = long.withColumn("bucket", F.pmod(F.xxhash64("metric", "source", "chunk"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(_bucket, FOUND_SCHEMA)
+    hot = written(known.groupBy("source").count().filter(F.col("count") > CHUNK).select("source"), "hot")
+
+    def series(rows):
+        long = rows.select("source", "t", "active", "idle", F.explode("metrics").alias("m")).filter("m.value is not null")
+        return long.select("m.metric", "source", "t", F.col("m.value").cast("long").alias("value"), F.coalesce("m.possible", F.lit(True)).alias("possible"), "active", "idle")
+
+    whole = lambda rows: series(rows).withColumn("chunk", F.lit(0).cast("long")).withColumn("core", F.lit(True))
+    if hot.isEmpty():
+        return _found(whole(known), n)
+    salted = hot.select("source", F.lit(True).alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    spread = known.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"], "left").drop("salt")
+    split = written(spread, "split")
+    long = series(split.filter("hot"))
+    held = written(_found(_chunked(long), n, _stuck_bucket), "held")
+    rest = long.filter("possible and not idle").join(held.filter("reason = 'stuck'"), [*KEYS, "t"], "left_anti")
+    spikes = _found(_chunked(rest), n, _spike_bucket)
+    return _found(whole(split.filter("hot is null")), n).unionByName(held).unionByName(spikes)
 
 
 def possible(value: Column, most: Column | None, top: int) -> Column:

@@ -76,6 +76,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def placed(df: DataFrame, by: list[Column | str], name: str, place: str = "place") -> DataFrame:
+    """``df``, written, with each row's place (from 0) in the order ``by``, which must be total.
+
+    Rows are range-partitioned and sorted; a place is the row's number in its partition
+    and the count of the partitions before it, so no partition holds more than its share.
+    """
+    at = "__at"
+    rows = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()), name)
+    part = F.shiftright(F.col(at), 33)
+    counts = rows.groupBy(part.alias("__part")).count().orderBy("__part").collect()  # one row per partition
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["__part"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "__part long, __before long")
+    inner = F.col(at) - F.shiftleft(F.col("__part"), 33)
+    return rows.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(place, F.col("__before") + inner).drop("__part", "__before", at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

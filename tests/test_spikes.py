@@ -85,6 +85,27 @@ def test_hot_source_is_cut_and_found_the_same(spark, monkeypatch):
     assert found(df) == whole == {("hot", "spike"): {50, 151, 299, 300, 301, 450}, ("hot", "stuck"): set(range(201, 207))}
 
 
+def test_hot_source_with_outages_is_as_uncut(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    t, v = series(rng, 600)
+    t[[*range(203, 600)]] += 4_000 * 43_200  # an outage amid a stuck run
+    t[[*range(400, 600)]] += 9_000 * 43_200  # and one just after a spike
+    v[200:207] = 1234
+    v[398:400] *= 6
+    idle = np.ones(600, bool)
+    idle[500:590] = False  # a chunk with hardly a usable reading
+    v[594] *= 6
+    df = frame(spark, {"hot": (t, v, idle), "cool": series(rng, 60)})
+    whole = found(df)
+    assert whole[("hot", "stuck")] == {int(x) for x in (t[201:207] - BASE) // 43_200}
+    assert whole[("hot", "spike")] == {int(x) for x in (t[[398, 399, 594]] - BASE) // 43_200}
+    for chunk in (100, 199, 203, 210):
+        monkeypatch.setattr(spikes, "CHUNK", chunk)
+        monkeypatch.setattr(spikes, "HALO", 40)
+        monkeypatch.setattr(spikes, "BUCKET", 64)
+        assert found(df) == whole
+
+
 def test_nulls_short_and_empty(spark):
     rng = np.random.default_rng(3)
     t, v = series(rng, 40)
