@@ -471,6 +471,13 @@ def metrics_rollup(spark, sf):
     return r.select("ts", "project_id", *[F.col(c).cast("bigint").alias(c) for c in metrics.COUNTERS], F.round("p50_latency_us", 6).alias("p50_latency_us"), F.round("p99_latency_us", 6).alias("p99_latency_us"))
 
 
+@query(f"SELECT ts, project_id, {_ROLLUP}, ROUND(COALESCE(AVG(NULLIF(p50_latency_us, 0)), 0), 6) AS p50_latency_us, ROUND(COALESCE(AVG(NULLIF(p99_latency_us, 0)), 0), 6) AS p99_latency_us FROM database_metrics GROUP BY ts, project_id")
+def metrics_rollup_whole(spark, sf):
+    """All database rows rolled up to (time, project), those without a data size too."""
+    r = metrics.project_rollup(table(spark, sf, "database_metrics"))
+    return r.select("ts", "project_id", *[F.col(c).cast("bigint").alias(c) for c in metrics.COUNTERS], F.round("p50_latency_us", 6).alias("p50_latency_us"), F.round("p99_latency_us", 6).alias("p99_latency_us"))
+
+
 _TOTALS = ", ".join(f"CAST(COALESCE(SUM({c}), 0) AS BIGINT) AS total_{c}" for c in ("bytes_in", "bytes_out", "writes", "reads", "events_sent"))
 
 
