@@ -39,12 +39,13 @@ def window_start(ts: Column, seconds: int) -> Column:
     return (F.floor(epoch_seconds(ts) / seconds) * seconds).cast("bigint")
 
 
-def accumulate(samples: DataFrame, keys: list[str], ts: str, seconds: int, sums: list[str], gauges: list[str], peaks: list[str], latency: str | None = None) -> DataFrame:
+def accumulate(samples: DataFrame, keys: list[str], ts: str, seconds: int, sums: list[str], gauges: list[str], peaks: list[str], latency: str | None = None, order: str | None = None) -> DataFrame:
     """Tumbling windows per key: sums, last values of gauges, maxima; latency as integer mean and max.
 
     Windows without any activity (all sums 0) are left out, as a flush leaves them out.
+    The last value is that of the highest ``order``, if named, else of the highest ``ts``.
     """
-    aggs = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums] + [F.max_by(c, ts).alias(f"last_{c}") for c in gauges] + [F.max(c).alias(f"max_{c}") for c in peaks]
+    aggs = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums] + [F.max_by(c, order or ts).alias(f"last_{c}") for c in gauges] + [F.max(c).alias(f"max_{c}") for c in peaks]
     if latency:
         aggs += [F.floor(F.sum(latency) / F.count(latency)).cast("bigint").alias("p50"), F.max(latency).alias("latency_max")]
     g = samples.groupBy(*keys, window_start(F.col(ts), seconds).alias("window_s")).agg(*aggs)

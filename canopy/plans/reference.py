@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canopy import model
 from canopy.functions import ids
-from canopy.operators import control, metrics, mutations, tree
+from canopy.operators import control, metrics, mutations, rolling, tree
 from canopy.operators.query import TreeQuery, views_diff
 from canopy.rules.compiler import utf16_length
 from canopy.rules.engine import Rules, can_read
@@ -495,6 +495,14 @@ def window_accumulate(spark, sf):
     return metrics.accumulate(m, ["project_id"], "ts", 21_600, ["writes"], ["data_size_bytes"], ["ccu"])
 
 
+@query("SELECT project_id, CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS window_s, CAST(SUM(COALESCE(writes, 0)) AS BIGINT) AS writes, arg_max_null(data_size_bytes, (ts, database_id)) AS last_data_size_bytes, MAX(ccu) AS max_ccu FROM (SELECT project_id, database_id, ts, arg_max_null(writes, id) AS writes, arg_max_null(data_size_bytes, id) AS data_size_bytes, arg_max_null(ccu, id) AS ccu FROM database_metrics GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING SUM(COALESCE(writes, 0)) > 0")
+def window_accumulate_whole(spark, sf):
+    """Six-hour windows per project over all its databases; of rows sent again the newest, of gauges at one time the last database's."""
+    values = ["writes", "data_size_bytes", "ccu"]
+    m = rolling.newest_rows(table(spark, sf, "database_metrics"), ["project_id", "database_id", "ts"], "id", values)
+    return metrics.accumulate(m.withColumn("at", F.struct("ts", "database_id")), ["project_id"], "ts", 21_600, ["writes"], ["data_size_bytes"], ["ccu"], order="at")
+
+
 def _percentiles(rounding):
     def run(spark, sf):
         return metrics.exact_percentiles(table(spark, sf, "database_metrics"), ["project_id"], "p50_latency_us", rounding=rounding)

@@ -19,3 +19,9 @@ def test_rollup_keeps_rows_without_a_size(spark, tmp_path):
     schema = "ts timestamp_ntz, project_id string, " + ", ".join(f"{c} long" for c in [*metrics.COUNTERS, "data_size_bytes", "p50_latency_us", "p99_latency_us"])
     got = {r.project_id: (r.writes, r.reads, r.p50_latency_us, r.p99_latency_us) for r in run(spark, tmp_path, "metrics_rollup_whole", "database_metrics", rows, schema)}
     assert got == {"p": (7, 7, 20.0, 20.0), "q": (5, 5, 0.0, 0.0)}
+
+
+def test_windows_hold_all_databases_of_a_project(spark, tmp_path):
+    rows = [(1, T0, "p", "a", 5, 100, 7), (2, T0, "p", "b", 8, 50, 2), (3, T0, "p", "b", 6, 60, 3), (4, T0 + timedelta(hours=6), "p", "a", 0, 1, 1)]
+    got = run(spark, tmp_path, "window_accumulate_whole", "database_metrics", rows, "id long, ts timestamp_ntz, project_id string, database_id string, writes long, data_size_bytes long, ccu long")
+    assert [(r.writes, r.last_data_size_bytes, r.max_ccu) for r in got] == [(11, 60, 7)]
