@@ -91,7 +91,7 @@ def matches_pattern(path: Column, pattern: Column) -> Column:
 
 def valid_key(key: Column) -> Column:
     r"""Not empty, at most 768 bytes, none of ``$ # [ ] /``, no control characters, ``.`` only in front."""
-    return F.coalesce((key != "") & (F.octet_length(key) <= MAX_KEY_BYTES) & ~F.rlike(key, F.lit(r"[$#\[\]/\x00-\x1f\x7f]|.\.")), F.lit(False))
+    return F.coalesce((key != "") & (F.octet_length(key) <= MAX_KEY_BYTES) & ~F.rlike(key, F.lit(r"[$#\[\]/\x00-\x1f\x7f]|(?s:.)\.")), F.lit(False))
 
 
 def valid_path(path: Column) -> Column:

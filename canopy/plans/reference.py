@@ -271,6 +271,12 @@ def key_validation(spark, sf):
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", model.valid_key(F.substring("text", 1, 12)).alias("valid"))
 
 
+@query("SELECT doc_id, octet_length(encode(text)) <= 768 AND NOT regexp_matches(text, '[$#\\[\\]/\\x00-\\x1f\\x7f]') AND strpos(substr(text, 2), '.') = 0 AND text <> '' AS valid FROM documents WHERE text IS NOT NULL")
+def key_validation_whole(spark, sf):
+    """Whether a whole text could be a key."""
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", model.valid_key(F.col("text")).alias("valid"))
+
+
 @query("SELECT entry_id, regexp_matches('/' || trim(path, '/'), '^/(rooms|notes)/[^/]+(/|$)') AS matched FROM wal_entries")
 def volatile_pattern(spark, sf):
     """Paths that match ``rooms/*`` or ``notes/$id``, or lie below."""

@@ -25,3 +25,9 @@ def test_windows_hold_all_databases_of_a_project(spark, tmp_path):
     rows = [(1, T0, "p", "a", 5, 100, 7), (2, T0, "p", "b", 8, 50, 2), (3, T0, "p", "b", 6, 60, 3), (4, T0 + timedelta(hours=6), "p", "a", 0, 1, 1)]
     got = run(spark, tmp_path, "window_accumulate_whole", "database_metrics", rows, "id long, ts timestamp_ntz, project_id string, database_id string, writes long, data_size_bytes long, ccu long")
     assert [(r.writes, r.last_data_size_bytes, r.max_ccu) for r in got] == [(11, 60, 7)]
+
+
+def test_whole_texts_are_keys(spark, tmp_path):
+    texts = ["k" * 768, "k" * 769, "a good beginning/", "a good beginning.", ".hidden", "é" * 385, "", None, "a\u2028."]
+    got = {r.doc_id: r.valid for r in run(spark, tmp_path, "key_validation_whole", "documents", list(enumerate(texts)), "doc_id long, text string")}
+    assert got == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False, 8: False}
