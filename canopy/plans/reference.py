@@ -13,7 +13,7 @@ from canopy.operators import control, metrics, mutations, rolling, tree
 from canopy.operators.query import TreeQuery, views_diff
 from canopy.rules.compiler import utf16_length
 from canopy.rules.engine import Rules, can_read
-from canopy.session import epoch_seconds, run_dir, table
+from canopy.session import epoch_seconds, placed, run_dir, table
 from canopy.sources import rest
 from canopy.streaming import views
 
@@ -92,6 +92,13 @@ def order_by_key_int_first(spark, sf):
     return top.select("key", F.row_number().over(Window.orderBy("k")).cast("bigint").alias("place"))  # at most 500 rows
 
 
+@query(f"SELECT key, CAST(ROW_NUMBER() OVER (ORDER BY {_INT} NULLS LAST, key) AS BIGINT) AS place FROM {_KEYS}")
+def order_by_key_int_first_whole(spark, sf):
+    """The place of every key: integers numerically, then the others bytewise."""
+    k = _keys(spark, sf).select("key", model.key_struct(F.col("key")).alias("k"))
+    return placed(k, ["k"], "key-places").select("key", (F.col("place") + 1).alias("place"))
+
+
 _MIXED = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN '\"' || event_type || '\"' WHEN 3 THEN CAST(value AS VARCHAR) ELSE '{\"a\":1}' END"
 
 
@@ -110,6 +117,13 @@ def mixed_type_order(spark, sf):
     return TreeQuery().order_by_value().limit_to_first(5000).apply(_mixed(spark, sf), value="json").select("key")
 
 
+@query(f"SELECT key, r AS rank, CAST(n AS DOUBLE) AS num, s AS str, CAST(ROW_NUMBER() OVER (ORDER BY r, n, s, event_id) AS BIGINT) AS place FROM {_RANKED}")
+def mixed_type_order_whole(spark, sf):
+    """Rank struct and place of every value in the order of mixed types, ties by key."""
+    v = _mixed(spark, sf).select("key", model.sort_key(F.col("json")).alias("v"), model.key_struct(F.col("key")).alias("k"))
+    return placed(v, ["v", "k"], "value-places").select("key", "v.*", (F.col("place") + 1).alias("place"))
+
+
 @query(f"SELECT key FROM {_RANKED} WHERE r < 3 OR (r = 3 AND n <= 50)")
 def cross_type_end_at(spark, sf):
     """An upper bound that is a number holds everything that ranks below numbers."""

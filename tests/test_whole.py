@@ -31,3 +31,18 @@ def test_whole_texts_are_keys(spark, tmp_path):
     texts = ["k" * 768, "k" * 769, "a good beginning/", "a good beginning.", ".hidden", "é" * 385, "", None, "a\u2028."]
     got = {r.doc_id: r.valid for r in run(spark, tmp_path, "key_validation_whole", "documents", list(enumerate(texts)), "doc_id long, text string")}
     assert got == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False, 6: False, 8: False}
+
+
+def test_every_value_and_key_has_its_place(spark, tmp_path):
+    rows = [(i, "click", float(-i)) for i in range(12_000)]
+    got = sorted(run(spark, tmp_path, "mixed_type_order_whole", "events", rows, "event_id long, event_type string, value double"), key=lambda r: r.place)
+    assert [r.place for r in got] == list(range(1, 12_001))
+    of = {0: (0,), 1: (2,), 2: (4,), 3: (3,), 4: (5,)}
+    want = sorted(range(12_000), key=lambda i: (of[i % 5], -i if i % 5 == 3 else 0, i))
+    assert [int(r.key) for r in got] == want
+    keys = run(spark, tmp_path, "order_by_key_int_first_whole", "customer", [(i,) for i in range(1, 3000)], "c_custkey long")
+    name = {0: "k{}", 1: "0{}", 2: "-{}"}
+    made = [name[i % 4].format(i) if i % 4 < 3 else str(i * 1000003) for i in range(1, 3000)]
+    number = lambda k: k[0] not in "0k" and abs(int(k)) < 2**31
+    want = sorted(made, key=lambda k: (not number(k), int(k) if number(k) else 0, k))
+    assert [r.key for r in sorted(keys, key=lambda r: r.place)] == want
