@@ -611,6 +611,12 @@ def events_page(spark, sf):
     return control.page(e, F.desc("ts"), "event_id", offset=100).select("event_id", "ts", "event_type")
 
 
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100")
+def events_page_whole(spark, sf):
+    """A page over all events."""
+    return control.page(table(spark, sf, "events"), F.desc("ts"), "event_id", offset=100).select("event_id", "ts", "event_type")
+
+
 @query("WITH d AS (SELECT DISTINCT * FROM project_databases), e AS (SELECT DISTINCT project_id, id FROM d WHERE status = 'evicting') SELECT d.project_id, d.id, CASE WHEN e.id IS NULL THEN d.server_id END AS server_id, CASE WHEN e.id IS NULL THEN d.status ELSE 'inactive' END AS status FROM d LEFT JOIN e ON e.project_id = d.project_id AND e.id = d.id WHERE e.id IS NULL OR d.ephemeral = 0")
 def evict_databases(spark, sf):
     d = table(spark, sf, "project_databases").distinct()

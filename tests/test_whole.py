@@ -46,3 +46,9 @@ def test_every_value_and_key_has_its_place(spark, tmp_path):
     number = lambda k: k[0] not in "0k" and abs(int(k)) < 2**31
     want = sorted(made, key=lambda k: (not number(k), int(k) if number(k) else 0, k))
     assert [r.key for r in sorted(keys, key=lambda r: r.place)] == want
+
+
+def test_page_is_over_all_events(spark, tmp_path):
+    rows = [(i, T0 - timedelta(seconds=i), i, "click") for i in range(200)]
+    got = run(spark, tmp_path, "events_page_whole", "events", rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    assert [r.event_id for r in got] == list(range(100, 150))
