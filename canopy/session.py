@@ -62,12 +62,28 @@ def _remove_runs() -> None:
     """Results are read lazily, so their folders can only go at the very end."""
     for spark, at in _RUNS:
         try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, at)
         except Exception:  # noqa: BLE001 - the session is gone: leave the folder
             return
 
 
+def _fs(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    fs, path = _fs(spark, at)
+    fs.delete(path, True)
+
+
+def folders(spark: SparkSession, at: str) -> list[str]:
+    """Names of the folders in a folder; none if it isn't there."""
+    fs, path = _fs(spark, at)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()) if fs.exists(path) else []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession

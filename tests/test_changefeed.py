@@ -99,3 +99,30 @@ def test_table_is_the_replay(spark, sf):
     t = spark.read.parquet(f"{sf}/wal_entries.parquet")
     got = rows_of(cf.current_leaves(spark, f"{sf}/wal_entries.parquet"))
     assert got == replay([tuple(r) for r in t.select(*cf.FEED).collect()])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_hot_database_is_cut_into_parts(spark, seed):
+    """Parts begin below marks with payloads, tombstones and scalars; keys that hold slashes name places twice."""
+    rng = random.Random(100 + seed)
+    feed = [("p", "d", *r[2:]) for r in random_feed(rng, 400)]
+    feed += [("p", "d", 900, i, "s", "a", json.dumps({k: {x: i for x in "abc"} for k in "abc01"})) for i in range(2)]
+    feed += [("p", "d", 901, i, "s", f"a/{rng.choice('abc')}/{rng.choice('abcd')}/{i}", "1") for i in range(60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert rows_of(cf.state_at(spark.createDataFrame([(*r, 0) for r in feed], SCHEMA))) == replay(feed)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_deep_values_odd_keys_and_slashes(spark):
+    deep = '{"a":' * 3000 + "[7]" + "}" * 3000
+    feed = [
+        ("p", "d", 1, 1, "s", "/deep", deep),
+        ("p", "d", 1, 2, "s", "/odd", json.dumps({"x\0y": 1, "x\1": 2, "x": {"z": 3}, "a/b": 4, "a": {"b": {"c": 5}}})),
+        ("p", "d", 1, 3, "d", "/odd/x", None),
+        ("p\1", "d\0", 1, 1, "s", "", "1e999"),
+    ]
+    got = {(r.project_id, r.path): r.value for r in cf.state_at(spark.createDataFrame([(*r, 0) for r in feed], SCHEMA)).collect()}
+    assert got == {("p", "/deep" + "/a" * 3000 + "/0"): "7", ("p", "/odd/x\0y"): "1", ("p", "/odd/x\1"): "2", ("p", "/odd/a/b/c"): "5", ("p\1", "/"): "1e999"}
