@@ -1,20 +1,21 @@
 """Mixing sources to target shares by a low-discrepancy schedule.
 
-The mix is a row of slots. Slot i maps the golden-ratio point frac((i + 1/2) g) through
-the sources' cumulative shares, so every stretch of the mix holds the sources in about
-their shares. A source's documents, shuffled by a seeded hash, are packed into blocks
-of equal tokens; its k-th slot takes its k-th block, starting over when the blocks are
-used up (the next repeat). The last block of a source is cut at the document that
-brings the source nearest to its share.
-
-The total is the largest at which every share is met exactly: the least of
-``max_repeats * tokens / share`` over the sources that have tokens. With a given
-``total`` the sources that cannot fill their share give what they have.
+The mix is a row of slots of ``BLOCK`` tokens each. Slot i maps the golden-ratio point
+frac((i + 1/2) g) through the sources' cumulative shares, so every stretch of the mix holds the
+sources in about their shares. A source's documents, shuffled by a seeded hash, are packed
+into blocks of ``BLOCK`` tokens; the slots drawn for a source are ranked, and the k-th takes
+the k-th block, starting over when the blocks are used up (the next repeat). Which blocks occur
+and how often follows from the slots drawn; a slot beyond a source's last repeat stays empty.
+
+The number of slots is that of the total at which all shares are met exactly: the least of
+``max_repeats * tokens / share`` over the sources that have tokens. With a given ``total`` the
+sources that cannot fill their share give what they have. Shares stray from their targets by
+the sequence's discrepancy (less than log n slots of n) and by a document per block.
 
 Defined results: documents without tokens, without source or of a source without
 target are not chosen; a target without documents gets none, and the other shares are
-met in proportion; no targets or no documents give empty results. Repeated ids count
-as documents of their own.
+met in proportion; no targets or no documents give empty results. A document belongs to the
+block in which its first token lies. Repeated ids count as documents of their own.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: frac of the golden ratio, as a 64-bit fraction.
 GOLDEN = 0x9E3779B97F4A7C15
+#: Tokens of a block, and of the slot it fills: a fixed number, whatever the size of the mix.
+BLOCK = 128
 #: Documents per hash bucket that the running sums are cut into.
 PER_BUCKET = 1 << 14
 
@@ -58,20 +61,16 @@ def quotas(docs: DataFrame, targets: DataFrame, size: str, total: int | None = N
 
 
 def schedule(spark, plan: DataFrame, block: int) -> DataFrame:
-    """(slot, source, k): the k-th slot (from 0) of each source, as many as its quota needs.
+    """(slot, source, k): the slots of the mix, and for each source their rank k from 0.
 
     ``plan`` is the result of :func:`quotas` (a row per target). Slots are ranked per source
     in chunks, so that no source's slots are one group.
     """
     rows = [r for r in plan.select("source", "quota").orderBy("source").collect() if r.quota > 0]
-    need = {r.source: int(-(-r.quota // block)) for r in rows}
-    schema = "slot long, source string, k long"
-    if not need:
-        return spark.createDataFrame([], schema)
+    if not rows:
+        return spark.createDataFrame([], "slot long, source string, k long")
     whole = sum(r.quota for r in rows)
-    # a few slots more than needed, as the sequence strays from the shares by less than log n
-    n = int(max(need[r.source] * whole / r.quota for r in rows) * 1.02) + 64 * len(rows)
-    slots = spark.range(n).select(F.col("id").alias("slot"), F.expr(f"pmod(cast((id + 0.5) as double) * {GOLDEN / 2**64!r}, 1.0)").alias("u"))
+    slots = spark.range(int(-(-whole // block))).select(F.col("id").alias("slot"), F.expr(f"pmod(cast((id + 0.5) as double) * {GOLDEN / 2**64!r}, 1.0)").alias("u"))
     edge, source = 0.0, F.lit(rows[-1].source)
     pairs = []
     for r in rows[:-1]:
@@ -83,34 +82,23 @@ def schedule(spark, plan: DataFrame, block: int) -> DataFrame:
     per = s.groupBy("source", "chunk").agg(F.count("*").alias("c"))
     before = per.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     k = F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1 + F.col("before")
-    ranked = s.join(before, ["source", "chunk"]).select("slot", "source", k.alias("k"))
-    enough = F.create_map(*[F.lit(x) for r in rows for x in (r.source, need[r.source])])
-    return ranked.filter(F.col("k") < enough[F.col("source")])
+    return s.join(before, ["source", "chunk"]).select("slot", "source", k.cast("long").alias("k"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, size: str = "n_tokens", total: int | None = None, block: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, size: str = "n_tokens", total: int | None = None, block: int = BLOCK, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(occurrences, plan). ``docs`` has doc_id, source and ``size``; give it written, it is read several times.
 
     occurrences: slot, source, doc_id, ``size``, pass (from 0), one row per time a document occurs.
-    ``block`` defaults to a 4096th of the mix, or the mean document if that is more.
     """
     spark = docs.sparkSession
-    wanted = targets.filter("source is not null and target_share > 0").select("source")
-    used = docs.select("doc_id", "source", size).filter(F.col("source").isNotNull() & (F.col(size) > 0)).join(F.broadcast(wanted), "source", "left_semi")
+    wanted = targets.filter("source is not null and target_share > 0").select("source")  # a row per target
+    used = docs.select("doc_id", "source", size).filter(F.col("source").isNotNull() & (F.col(size) > 0)).join(wanted, "source", "left_semi")
     plan = quotas(used, targets, size, total)
-    if block is None:
-        r = plan.agg(F.sum("quota"), F.sum("tokens")).first()
-        mean = used.agg(F.avg(size)).first()[0] or 1
-        block = int(max((r[0] or 0) / 4096, mean, 1))
-    placed = shuffled_offsets(used, size, seed).join(F.broadcast(plan.select("source", "quota", F.col("tokens").alias("all"), "max_repeats")), "source")
-    passes = F.expr("sequence(0L, greatest(cast(max_repeats as bigint), 1L) - 1)")
-    times = placed.select("source", "doc_id", size, "quota", "all", "start", F.explode(passes).alias("pass"))
-    # a document is in if at least half of it lies below its source's quota
-    times = times.filter(F.col("pass") * F.col("all") + F.col("start") + F.col(size) / 2 <= F.col("quota"))
-    blocks = F.ceil(F.col("all") / F.lit(block))
-    at = times.select("source", "doc_id", size, "pass", (F.col("pass") * blocks + F.floor(F.col("start") / F.lit(block))).cast("long").alias("k"))
-    order = schedule(spark, plan.withColumn("quota", F.col("quota") + F.when(F.col("quota") > 0, F.col("max_repeats") * block).otherwise(0)), block)
-    return at.join(order, ["source", "k"]).select("slot", "source", "doc_id", size, "pass"), plan
+    at = shuffled_offsets(used, size, seed).select("source", "doc_id", size, F.expr(f"start div {block}").alias("block"))
+    blocks = plan.filter("tokens > 0").select("source", F.expr(f"(tokens + {block - 1}) div {block}").alias("blocks"), "max_repeats")
+    drawn = schedule(spark, plan, block).join(blocks, "source").select("slot", "source", F.expr("k % blocks").alias("block"), F.expr("k div blocks").alias("pass"), "max_repeats")
+    drawn = drawn.filter(F.col("pass") < F.col("max_repeats")).drop("max_repeats")
+    return at.join(drawn, ["source", "block"]).select("slot", "source", "doc_id", size, "pass"), plan
 
 
 def chosen(occurrences: DataFrame, size: str = "n_tokens") -> DataFrame:
