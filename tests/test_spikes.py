@@ -143,3 +143,33 @@ def test_table_has_each_case_once(spark, sf):
     assert df.columns == ["metric", "source", "ts_s"]
     assert df.count() == df.distinct().count() > 0
     assert df.filter(F.col("metric").isNull() | F.col("source").isNull()).count() == 0
+
+
+def test_bucket_mates_change_nothing():
+    """Flags of 300 short series are the same alone and beside one ten times as long."""
+    rng = np.random.default_rng(8)
+    n, most = 300, 3000
+    t = np.zeros((n + 1, most), np.int64)
+    v = np.zeros((n + 1, most), np.int64)
+    use = np.zeros((n + 1, most), bool)
+    for i in range(n + 1):
+        m = most if i == n else int(rng.integers(30, 300))
+        a, b = series(rng, m)
+        b = np.asarray(b)
+        b[rng.integers(0, m, 2)] *= 3
+        t[i, :m], v[i, :m], use[i, :m] = a, b, True
+    alone = spikes.spike_flags(t[:n, :300], v[:n, :300], use[:n, :300])
+    assert (spikes.spike_flags(t, v, use)[:n, :300] == alone).all() and alone.any()
+
+
+def test_a_source_of_20000_readings_is_as_uncut(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    t, v = series(rng, 20_000)
+    v = np.asarray(v).astype(np.int64)
+    v[:7000] = 1000 + (v[:7000] - 1000) // 4  # quieter at first: a chunk's own scatter is not the source's
+    v[[50, 3999, 4000, 4001, 8191, 12_000, 16_383, 19_000]] *= 6
+    v[9000:9010] = 777
+    df = frame(spark, {"hot": (t, v)})
+    cut = found(df)
+    monkeypatch.setattr(spikes, "CHUNK", 1 << 30)
+    assert cut == found(df) and len(cut[("hot", "spike")]) >= 8
