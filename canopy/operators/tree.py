@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopy import model
-from canopy.functions.jsontext import INVALID, children, dump, leaves, parse, safe
+from canopy.functions.jsontext import INVALID, dump, fold, leaves, parse, safe
 
 
 def flatten_json(df: DataFrame, keys: list[str], json_col: str) -> DataFrame:
@@ -64,9 +64,32 @@ def child_keys(leaf: DataFrame, at: str = "") -> DataFrame:
     return rows.groupBy("db", "key").agg(F.count("*").alias("leaves"), F.sum(F.octet_length("value")).alias("bytes"), F.max(F.when(F.col("scalar"), F.col("value"))).alias("value"))
 
 
+def scalar_size(value: Column) -> Column:
+    """The size estimate of a JSON scalar: null 4, bool 5, number 12, string its bytes + 2."""
+    text = F.try_variant_get(F.try_parse_json(value), "$", "string")
+    return F.when(F.startswith(value, F.lit('"')), F.octet_length(text) + 2).when(value.isin("true", "false"), 5).when(value == "null", 4).otherwise(12)
+
+
+def child_sizes(leaf: DataFrame, at: str = "") -> DataFrame:
+    """db, key, size, nodes, fields: the estimate of :func:`value_size`, by aggregation only.
+
+    A node adds its key and 4, a container 1, a scalar its own size; nodes counts all below
+    the child and itself, fields those that are scalars. A subtree of any size is summed up.
+    """
+    s = F.split("path", "/", 2)
+    below = subtree(leaf, at).filter(F.col("path") != "").select("db", s[0].alias("key"), F.when(F.size(s) > 1, s[1]).alias("rest"), scalar_size(F.col("value")).alias("own"))
+    scalars = below.select("db", "key", "rest", "own", F.lit(0).alias("box"))
+    inner = below.filter("rest is not null").select("db", "key", F.explode(model.prefixes(F.col("rest"), strict=True)).alias("rest")).distinct()
+    boxes = inner.select("db", "key", F.nullif(F.col("rest"), F.lit("")).alias("rest"), F.lit(0).alias("own"), F.lit(1).alias("box"))
+    named = F.when(F.col("rest").isNotNull(), F.octet_length(F.substring_index("rest", "/", -1)) + 4).otherwise(0)
+    g = scalars.unionByName(boxes).groupBy("db", "key")
+    return g.agg(F.sum(F.col("own") + named + F.col("box")).alias("size"), F.count("*").alias("nodes"), F.sum(1 - F.col("box")).alias("fields"))
+
+
 def shallow(leaf: DataFrame, at: str = "") -> DataFrame:
-    """db, key, value: primitives as they are, containers as ``{".sz": bytes}``."""
-    return child_keys(leaf, at).select("db", "key", F.coalesce("value", F.to_json(F.struct(F.col("bytes").alias(".sz")))).alias("value"))
+    """db, key, value: primitives as they are, containers as ``{".sz": size estimate}``."""
+    kids = child_keys(leaf, at).join(child_sizes(leaf, at), ["db", "key"])
+    return kids.select("db", "key", F.coalesce("value", F.to_json(F.struct(F.col("size").alias(".sz")))).alias("value"))
 
 
 def shallow_truncated(leaf: DataFrame, at: str = "") -> DataFrame:
@@ -96,17 +119,17 @@ def nested(items: list[tuple[str, str]]):
     return rendered(root)
 
 
-def rendered(v):
+def rendered(value):
     """Containers whose keys make up an array become lists, gaps null; at every depth."""
-    if isinstance(v, list):
-        v = {str(i): x for i, x in enumerate(v) if x is not None}
-    if not isinstance(v, dict):
-        return v
-    out = {k: rendered(x) for k, x in v.items()}
-    if _is_array(list(out)):
-        n = max(map(int, out)) + 1
-        return [out.get(str(i)) for i in range(n)]
-    return out
+
+    def node(v, parts):
+        names = v if isinstance(v, dict) else map(str, range(len(v)))
+        out = {k: x for k, x in zip(names, parts, strict=True) if isinstance(v, dict) or x is not None}
+        if _is_array(list(out)):
+            return [out.get(str(i)) for i in range(max(map(int, out)) + 1)]
+        return out
+
+    return fold(value, lambda x: x, node)
 
 
 @F.pandas_udf(T.StringType())
@@ -166,19 +189,14 @@ def value_size(json_col: Column) -> Column:
 
     @F.pandas_udf(T.LongType())
     def size(text: pd.Series) -> pd.Series:
-        def of(v):
-            if v is None:
-                return 4
-            if isinstance(v, bool):
-                return 5
-            if isinstance(v, (int, float)):
-                return 12
-            if isinstance(v, str):
-                return len(v.encode("utf-8", "replace")) + 2
-            kids = [len(k.encode("utf-8", "replace")) + 3 + of(x) for k, x in children(v)]
-            return 2 + sum(kids) + max(0, len(kids) - 1)
-
-        return text.map(lambda t: None if (v := parse(t)) is INVALID else of(v)).astype("Int64")
+        def leaf(v):
+            return 4 if v is None else 5 if isinstance(v, bool) else 12 if isinstance(v, (int, float)) else len(v.encode("utf-8", "replace")) + 2
+
+        def node(v, parts):
+            names = v if isinstance(v, dict) else map(str, range(len(v)))
+            return 2 + sum(len(k.encode("utf-8", "replace")) + 3 + n for k, n in zip(names, parts, strict=True)) + max(0, len(parts) - 1)
+
+        return text.map(lambda t: None if (v := parse(t)) is INVALID else fold(v, leaf, node)).astype("Int64")
 
     return size(json_col)
 
@@ -188,10 +206,7 @@ def value_depth(json_col: Column) -> Column:
 
     @F.pandas_udf(T.IntegerType())
     def depth(text: pd.Series) -> pd.Series:
-        def of(v):
-            return 1 + max((of(x) for _, x in children(v)), default=0) if isinstance(v, (dict, list)) else 0
-
-        return text.map(lambda t: None if (v := parse(t)) is INVALID else of(v)).astype("Int32")
+        return text.map(lambda t: None if (v := parse(t)) is INVALID else fold(v, lambda x: 0, lambda x, parts: 1 + max(parts, default=0))).astype("Int32")
 
     return depth(json_col)
 
@@ -221,18 +236,20 @@ def _number(v) -> str:
     return sign + digits[0] + ("." + digits[1:] if n > 1 else "") + ("e+" if e > 0 else "e-") + str(abs(e))
 
 
-def canonical(v) -> str:
+def canonical(value) -> str:
     """RFC 8785 text of a value: keys by UTF-16 code units, no white space."""
-    if v is None or isinstance(v, bool):
-        return json.dumps(v)
-    if isinstance(v, (int, float)):
-        return _number(v)
-    if isinstance(v, str):
-        return json.dumps(v, ensure_ascii=False)
-    if isinstance(v, list):
-        return "[" + ",".join(map(canonical, v)) + "]"
-    keys = sorted(v, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
-    return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(v[k])}" for k in keys) + "}"
+    quoted = lambda t: json.dumps(t, ensure_ascii=False)
+
+    def leaf(v):
+        return json.dumps(v) if v is None or isinstance(v, bool) else quoted(v) if isinstance(v, str) else _number(v)
+
+    def node(v, parts):
+        if isinstance(v, list):
+            return "[" + ",".join(parts) + "]"
+        pairs = sorted(zip(v, parts, strict=True), key=lambda kp: kp[0].encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{quoted(k)}:{text}" for k, text in pairs) + "}"
+
+    return fold(value, leaf, node)
 
 
 @F.pandas_udf(T.StringType())
@@ -257,29 +274,46 @@ def _hash_key(k: str):
     return (0, n, "") if n is not None and -(2**63) <= n < 2**63 else (1, 0, k)
 
 
-def sdk_hash_of(v) -> str:
-    """Base64 SHA-1 of the typed text of a value; ``""`` for null."""
-    priority = v.get(".priority") if isinstance(v, dict) else None
-    if isinstance(v, dict) and ".value" in v:
-        v = v[".value"]
-    if isinstance(v, list):
-        v = {str(i): x for i, x in enumerate(v) if x is not None}
-    if v is None or v == {}:
-        return ""
+def _priority(v):
+    return v.get(".priority") if isinstance(v, dict) else None
+
+
+def _digest(priority, body: str) -> str:
     head = f"priority:{_leaf_text(priority)}:" if priority is not None else ""
-    if isinstance(v, dict):
-        kids = []
-        for k, x in v.items():
-            if k != ".priority" and (h := sdk_hash_of(x)):
-                p = x.get(".priority") if isinstance(x, dict) else None
+    return base64.b64encode(hashlib.sha1((head + body).encode("utf-8", "replace")).digest()).decode()
+
+
+def sdk_hash_of(value) -> str:
+    """Base64 SHA-1 of the typed text of a value; ``""`` for null and empty containers."""
+
+    def leaf(v):
+        return "" if v is None else _digest(None, _leaf_text(v))
+
+    def node(v, parts):
+        named = dict(zip(v if isinstance(v, dict) else map(str, range(len(v))), zip(v.values() if isinstance(v, dict) else v, parts, strict=True), strict=True))
+        priority = _priority(v)
+        if isinstance(v, dict) and ".value" in v:  # a scalar with its priority, or a container so wrapped
+            inner, plain = named[".value"]
+            if isinstance(inner, (dict, list)) or inner is None:
+                return plain if priority is None or not plain else _digest(priority, kids(inner))
+            return _digest(priority, _leaf_text(inner))
+        body = listed(named)
+        return _digest(priority, body) if body else ""
+
+    def listed(named):
+        rows = []
+        for k, (x, h) in named.items():
+            if k != ".priority" and h:
+                p = _priority(x)
                 rank = 0 if p is None else 1 if isinstance(p, (int, float)) else 2
-                kids.append(((rank, p if rank == 1 else 0, p if rank == 2 else ""), _hash_key(k), k, h))
-        if not kids:
-            return ""
-        body = head + "".join(f":{k}:{h}" for _, _, k, h in sorted(kids))
-    else:
-        body = head + _leaf_text(v)
-    return base64.b64encode(hashlib.sha1(body.encode("utf-8", "replace")).digest()).decode()
+                rows.append(((rank, p if rank == 1 else 0, p if rank == 2 else ""), _hash_key(k), k, h))
+        return "".join(f":{k}:{h}" for _, _, k, h in sorted(rows))
+
+    def kids(v):
+        pairs = v.items() if isinstance(v, dict) else ((str(i), x) for i, x in enumerate(v))
+        return listed({k: (x, sdk_hash_of(x)) for k, x in pairs})
+
+    return fold(value, leaf, node)
 
 
 @F.pandas_udf(T.StringType())

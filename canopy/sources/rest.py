@@ -2,35 +2,80 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy import model
+from canopy.functions.jsontext import INVALID, dump, parse
 from canopy.functions.ids import push_id
 
 
 def to_operations(requests: DataFrame) -> DataFrame:
-    """method, path (``*.json``), body, ts_ms, request_id -> op, path, value, name (of a POST).
+    """method, path (``*.json``), body, ts_ms, request_id -> op, path, value, name (of a POST), h, hp.
 
-    GET reads (o), PUT sets, PATCH updates, DELETE deletes, POST sets below a new push id;
-    a DELETE under ``if_match`` is a SET of null. Other methods and paths give no row.
+    GET reads (o), PUT sets, PATCH updates, DELETE deletes, POST sets below a new push id.
+    ``if_match`` makes any write conditional: ``h`` is the hash that the present value must have,
+    and ``hp`` says that there is one (the tag ``null_etag``, or an empty one, stands for no value);
+    a DELETE under it is a SET of null. Other methods and paths give no row.
     """
     path = F.regexp_replace("path", r"\.json$", "")
     op = F.create_map(*[F.lit(x) for x in ("GET", "o", "PUT", "s", "POST", "s", "PATCH", "u", "DELETE", "d")])[F.upper("method")]
     name = F.when(F.upper("method") == "POST", push_id(F.col("ts_ms"), F.col("request_id")))
-    conditional = F.col("if_match").isNotNull() if "if_match" in requests.columns else F.lit(False)
-    r = requests.filter(F.col("path").endswith(".json")).select("request_id", F.when((op == "d") & conditional, "s").otherwise(op).alias("op"), model.joined(path, F.coalesce(name, F.lit(""))).alias("path"), F.when(op.isin("o", "d"), F.when(conditional, "null")).otherwise(F.col("body")).alias("value"), name.alias("name"))
+    tag = F.col("if_match") if "if_match" in requests.columns else F.lit(None).cast("string")
+    conditional = tag.isNotNull() & (op != "o")
+    plain = F.btrim(F.regexp_replace(tag, "^W/", ""), F.lit('"'))
+    h = F.when(conditional, F.when(plain == "null_etag", "").otherwise(plain))
+    value = F.when((op == "d") & conditional, "null").when(~op.isin("o", "d"), F.col("body"))
+    r = requests.filter(F.col("path").endswith(".json")).select("request_id", F.when((op == "d") & conditional, "s").otherwise(op).alias("op"), model.joined(path, F.coalesce(name, F.lit(""))).alias("path"), value.alias("value"), name.alias("name"), h.alias("h"), conditional.alias("hp"))
     return r.filter("op is not null")
 
 
+@F.pandas_udf(T.StringType())
+def _indented(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if (v := parse(t)) is INVALID else pretty_text(v))
+
+
+def pretty_text(value) -> str:
+    """A value over several lines, two spaces a level, keys in byte order; empty containers stay short. Any depth."""
+    out: list[str] = []
+    todo: list[tuple[str, object, int]] = [("", value, 0)]
+    while todo:
+        head, v, level = todo.pop()
+        out.append(head)
+        if not isinstance(v, (dict, list)) or not v:
+            out.append("" if v is _DONE else dump(v))
+            continue
+        pad, close = "\n" + "  " * (level + 1), "\n" + "  " * level + ("}" if isinstance(v, dict) else "]")
+        pairs = [(f"{dump(k)}: ", v[k]) for k in sorted(v)] if isinstance(v, dict) else [("", x) for x in v]
+        todo.append((close, _DONE, level))
+        for i in range(len(pairs) - 1, -1, -1):
+            todo.append((("," if i else "") + pad + pairs[i][0], pairs[i][1], level + 1))
+        out.append("{" if isinstance(v, dict) else "[")
+    return "".join(out)
+
+
+_DONE = object()
+
+
 def formatted(json_col: Column, print_: str | None = None, callback: str | None = None) -> Column:
-    """A JSON text as an answer: plain, ``pretty``, ``silent`` (empty), or wrapped in a callback."""
+    """A JSON text as an answer: plain, ``pretty`` (over several lines), ``silent`` (empty), or wrapped in a callback."""
     if print_ == "silent":
         return F.lit("")
-    text = F.to_json(F.try_parse_json(json_col), {"pretty": "true"}) if print_ == "pretty" else json_col
+    text = _indented(json_col) if print_ == "pretty" else json_col
     return F.concat(F.lit(f"{callback}("), text, F.lit(");")) if callback else text
 
 
+def headers(params: dict[str, str]) -> dict[str, str]:
+    """The answer's headers under REST parameters: its type, and the file name of a download."""
+    out = {"Content-Type": "application/javascript; charset=utf-8" if params.get("callback") else "application/json; charset=utf-8"}
+    if params.get("download"):
+        name = params["download"].replace("\\", "").replace('"', "")
+        out["Content-Disposition"] = f'attachment; filename="{name}"'
+    return out
+
+
 def sse(event: Column, path: Column, data: Column) -> Column:
     """``event:`` and ``data:`` lines of one put or patch."""
     quoted = F.to_json(F.array(path))

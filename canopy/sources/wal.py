@@ -13,12 +13,16 @@ class LogError(ValueError):
 
 
 def read_log(spark: SparkSession, folder: str, after: int | None = None, upto: int | None = None) -> DataFrame:
-    """sequence, line_no, op, path, value of ``NNNNNN.wal`` files with sequence in (after, upto].
+    """sequence, line_no, op, path, value of the log files with sequence in (after, upto].
 
-    Lines are numbered by file offset order: each file is one unsplit text (they rotate at
-    5 MiB). Broken lines come back with a null op; :func:`check` says whether that is fatal.
+    A log file is ``NNNNNN.wal``, or the one file in ``sequence=N`` that :func:`append_log`
+    writes. Lines are numbered by file offset order: each file is one unsplit text (they rotate
+    at 5 MiB). Broken lines come back with a null op; :func:`check` says whether that is fatal.
     """
-    files = spark.read.option("pathGlobFilter", "*.wal").text(folder, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.wal$", 1).cast("bigint").alias("sequence"), "value")
+    found = spark.read.option("pathGlobFilter", "*.{wal,txt}").option("recursiveFileLookup", True).text(folder, wholetext=True)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)\.wal$", 1)
+    other = F.regexp_extract(F.col("_metadata.file_path"), r"/sequence=(\d+)/[^/]*\.txt$", 1)
+    files = found.select(F.coalesce(F.nullif(number, F.lit("")), F.nullif(other, F.lit(""))).cast("bigint").alias("sequence"), "value").filter("sequence is not null")
     if after is not None:
         files = files.filter(F.col("sequence") > after)
     if upto is not None:
@@ -62,7 +66,10 @@ def check(log: DataFrame, least: int | None = None) -> DataFrame:
 
 
 def append_log(entries: DataFrame, folder: str) -> None:
-    """Write entries (sequence, line_no, op, path, value) as log files, one per sequence."""
+    """Write entries (sequence, line_no, op, path, value) as log files, one per sequence, as :func:`read_log` reads them.
+
+    A sequence is written whole: its entries come in one call, in the order of line_no.
+    """
     line = F.concat(F.lit('{"o":"'), "op", F.lit('","p":'), F.to_json(F.array("path")).substr(F.lit(2), F.length(F.to_json(F.array("path"))) - 2), F.when(F.col("op") == "d", "").otherwise(F.concat(F.lit(',"v":'), F.coalesce("value", F.lit("null")))), F.lit("}"))
     entries.select("sequence", "line_no", line.alias("line")).repartition("sequence").sortWithinPartitions("sequence", "line_no").select("sequence", "line").write.mode("append").partitionBy("sequence").text(folder)
 

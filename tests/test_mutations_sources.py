@@ -58,7 +58,7 @@ def test_values_rates_views_overlay(spark):
     vi = spark.createDataFrame([("d", "/a"), ("d", "/a/b/c"), ("e", "/"), ("e", "/ab")], "db string, view_path string")
     ev = mutations.view_events(mutations.match_views(mu, vi))
     assert sorted((r.db, r.v_path, r.relation, r.ev, r.rel_path, r.data) for r in ev.collect()) == [
-        ("d", "a", "above", "put", "/", "null"), ("d", "a", "below", "put", "/b", "1"), ("d", "a/b/c", "above", "put", "/", "1"), ("d", "a/b/c", "above", "put", "/", "null"), ("e", "", "below", "patch", "/a", '{"x":1}')]
+        ("d", "a", "above", "put", "/", "null"), ("d", "a", "below", "put", "/b", "1"), ("d", "a/b/c", "above", "put", "/", "null"), ("d", "a/b/c", "above", "put", "/", "null"), ("e", "", "below", "patch", "/", '{"a/x":1}')]
     t = spark.createDataFrame([("d", "a/x", "1"), ("d", "a/y", "2"), ("d", "b", "3")], "db string, path string, value string")
     u = spark.createDataFrame([("d", "a/x", None), ("d", "b/c", "9")], "db string, path string, value string")
     assert sorted((r.path, r.value) for r in mutations.overlay(t, u).collect()) == [("a/y", "2"), ("b/c", "9")]
@@ -123,3 +123,98 @@ def test_metrics_and_control(spark):
     assert control.page(d, "id", limit=0).count() == 3 and control.page(d, "id", limit=1, offset=1).first().id == "d2"
     up = spark.createDataFrame([("d1", None), ("d9", "s9")], "id string, server_id string")
     assert {x.id: x.server_id for x in control.upsert(d, up, ["id"], ("server_id",)).collect()} == {"d1": "s1", "d2": "s2", "d3": None, "d9": "s9"}
+
+
+def test_view_events_above_and_below(spark):
+    mu = spark.createDataFrame([(1, "d", "/a", "s", '{"b":{"c":1},"z":2}'), (2, "d", "/a", "u", '{"b/x":3,"z":4}'), (3, "d", "/a", "u", '{"z":4}'), (4, "d", "/a/b/q", "u", '{"r":1,"/s/t/":null}'), (5, "d", "/a/b", "u", "7"), (6, "d", "/", "u", '{"a":{"b":[5]}}'), (7, "d", "/a/b/k", "s", "{")], "n int, db string, path string, op string, value string")
+    ev = mutations.view_events(mutations.match_views(mu, spark.createDataFrame([("d", "/a/b")], "db string, view_path string")))
+    assert sorted((r.n, r.ev, r.rel_path, r.data) for r in ev.collect()) == [(1, "put", "/", '{"c":1}'), (2, "patch", "/", '{"x":3}'), (4, "patch", "/", '{"q/r":1,"q/s/t":null}'), (6, "put", "/", "[5]")]
+
+
+def test_increments_in_payloads(spark):
+    inc = lambda d: json.dumps({".sv": {"increment": d}})
+    writes = [
+        ("d", 1, "s", "/n", inc(2)),  # 5 + 2
+        ("d", 2, "u", "/", f'{{"n":{inc(0.5)},"/m/x/":{inc(1)}}}'),  # 7.5; nothing there
+        ("d", 3, "s", "/m", '{"x":10,"y":"t"}'),
+        ("d", 4, "s", "/m", f'{{"x":{inc(3)},"k":[{inc(1)}]}}'),  # the write replaces /m, so x counts from 0
+        ("d", 5, "u", "/m", f'{{"x":{inc(4)}}}'),
+        ("d", 6, "d", "/n", None),
+        ("d", 7, "s", "/n", inc(1)),
+        ("d", 8, "s", "/n/deep", "1"),
+        ("d", 9, "s", "/n", inc(6)),  # a container counts 0
+        ("d", 10, "s", "/b", inc("x")),
+        ("e", 1, "s", "/n", inc(1)),
+        ("e", 2, "s", "/t", '"plain"'),
+    ]
+    w = spark.createDataFrame(writes, "db string, seq long, op string, path string, value string")
+    leaf = spark.createDataFrame([("d", "n", "5"), ("e", "n", '"text"')], "db string, path string, value string")
+    got = {(r.db, r.seq): r.value if r.error is None else r.error for r in mutations.resolve_increments(w, leaf).collect()}
+    assert got == {
+        ("d", 1): "7", ("d", 2): '{"n":7.5,"/m/x/":1}', ("d", 3): '{"x":10,"y":"t"}', ("d", 4): '{"x":3,"k":[1]}', ("d", 5): '{"x":7}', ("d", 6): None,
+        ("d", 7): "1", ("d", 8): "1", ("d", 9): "6", ("d", 10): "invalid_data", ("e", 1): "1", ("e", 2): '"plain"'}
+
+
+def test_transactions_see_those_before(spark):
+    schema = "tx_id string, db string, tx_seq long, seq long, op string, path string, value string, hash string"
+    ops = [
+        ("a", "d", 1, 1, "c", "/n", "1", None), ("a", "d", 1, 2, "s", "/n", "2", None),
+        ("b", "d", 2, 1, "c", "/n", "2", None), ("b", "d", 2, 2, "u", "/n", '{"x":{"y":1},"z":null}', None),
+        ("c", "d", 3, 1, "c", "/n", "2", None), ("c", "d", 3, 2, "s", "/n", "9", None),
+        ("e", "d", 4, 1, "c", "/n/x/y", "1.0", None), ("e", "d", 4, 2, "d", "/n/x", None, None),
+        ("f", "d", 5, 1, "c", "/n", None, None), ("f", "d", 5, 2, "s", "/o/p", "1", None),
+        ("g", "d", 6, 1, "c", "/o", '{"p":1,"q":[true]}', None),
+        ("h", "d", 7, 1, "s", "/$", "1", None),
+        ("i", "q", 1, 1, "c", "/k/v", None, None), ("i", "q", 1, 2, "s", "/k/v", "1", None),
+        ("j", "q", 2, 1, "c", "/k/v", None, None), ("j", "q", 2, 2, "s", "/k/v", "2", None),
+    ]
+    leaf = spark.createDataFrame([("d", "n", "1"), ("d", "o/q/0", "true")], "db string, path string, value string")
+    got = {r.tx_id: r.reason for r in mutations.transactions_in_order(spark.createDataFrame(ops, schema), leaf).collect()}
+    assert got == {"a": None, "b": None, "c": "condition_failed", "e": None, "f": None, "g": None, "h": "invalid_path", "i": None, "j": "condition_failed"}
+    assert mutations.transactions_in_order(spark.createDataFrame([], schema), leaf).count() == 0
+
+
+def test_conditional_writes_and_size_cap(spark):
+    from canopy.operators.tree import sdk_hash_of
+
+    leaf = spark.createDataFrame([("d", "a", "1")], "db string, path string, value string")
+    w = [(1, "d", 1, "s", "/a", "2", sdk_hash_of(1), True), (2, "d", 2, "s", "/a", "3", sdk_hash_of(1), True), (3, "d", 3, "s", "/b", "1", "", True), (4, "d", 4, "s", "/b", "2", "", True), (5, "d", 5, "s", "/b", "null", sdk_hash_of(1), True), (6, "d", 6, "s", "/b", "5", None, False)]
+    got = mutations.conditional_writes(spark.createDataFrame(w, "id long, db string, seq long, op string, path string, value string, h string, hp boolean"), leaf)
+    assert {r.id: r.committed for r in got.collect()} == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True}
+    full = spark.createDataFrame([("/a", "s", "1", 1 << 40), ("/a", "d", None, 1 << 41), ("/a", "s", "null", 1 << 41), ("/a", "s", "1", None)], "path string, op string, value string, size long")
+    assert [r.error for r in mutations.valid_writes(full, "size").collect()] == ["database_full", None, None, None]
+
+
+def test_on_disconnect_caps(spark):
+    reg = [("c", i, "s", f"/p{i}", "1") for i in range(1, 151)] + [("c", 151, "c", "/p7", None), ("c", 152, "s", "/late", "2")]
+    reg += [("big", 1, "s", "/x", "9" * (1 << 19)), ("big", 2, "s", "/y", "9" * (1 << 20)), ("big", 3, "s", "/z", "9" * (1 << 19)), ("big", 4, "s", "/w", "1")]
+    gone = spark.createDataFrame([("c", 200, 1), ("big", 9, 1), ("c", 300, 1)], "client string, seq long, ts_ms long")
+    got = {}
+    for r in mutations.on_disconnect(spark.createDataFrame(reg, "client string, seq long, op string, path string, value string"), gone).collect():
+        got.setdefault((r.client, r.seq), []).append((r.idx, r.path))
+    assert [p for _, p in sorted(got[("c", 200)])] == [f"p{i}" for i in range(1, 101) if i != 7] + ["late"]
+    assert sorted(got[("big", 9)]) == [(1, "x"), (2, "z")] and ("c", 300) not in got
+
+
+def test_log_written_is_read_back(spark, tmp_path):
+    rows = [(7, 1, "s", '/q"x', '{"a":1}'), (7, 2, "d", "/q", None), (12, 1, "u", "/", '{"k":"ü"}')]
+    wal.append_log(spark.createDataFrame(rows, "sequence long, line_no int, op string, path string, value string"), str(tmp_path / "log"))
+    (tmp_path / "log" / "000013.wal").write_text('{"o":"s","p":"/z","v":1}\n')
+    got = wal.read_log(spark, str(tmp_path / "log")).select("sequence", "line_no", "op", "path", "value")
+    assert sorted(map(tuple, got.collect())) == [*rows, (13, 1, "s", "/z", "1")]
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([('{"b":[1,{}],"a":{"x":null}}',), ("[]",), ("{",), (None,)], "v string")
+    assert [r[0] for r in df.select(rest.formatted(F.col("v"), "pretty")).collect()] == ['{\n  "a": {\n    "x": null\n  },\n  "b": [\n    1,\n    {}\n  ]\n}', "[]", None, None]
+    assert df.select(rest.formatted(F.col("v"), callback="f")).first()[0] == 'f({"b":[1,{}],"a":{"x":null}});' and df.select(rest.formatted(F.col("v"), "silent")).first()[0] == ""
+    assert rest.headers({"download": 'a"b.json'}) == {"Content-Type": "application/json; charset=utf-8", "Content-Disposition": 'attachment; filename="ab.json"'}
+
+
+def test_one_bad_deep_value_ends_no_job(spark):
+    from canopy.operators import tree
+
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    df = spark.createDataFrame([(deep,), ("{" * 9000,)], "v string")
+    r = df.select(tree.render_json("v"), tree.native_hash("v"), tree.sdk_hash("v"), tree.value_size(F.col("v")), tree.value_depth(F.col("v")), mutations.valid_value_keys("v")).collect()
+    assert r[0][0] == deep and r[0][3:] == (12 + 3000 * 6, 3000, True) and None not in r[0] and list(r[1]) == [None] * 6

@@ -34,7 +34,7 @@ def test_array_rule(spark, stored, read):
 def test_read_shallow_assemble(spark):
     t = leaf(spark, [("a/x", "1"), ("a/y/0", '"s"'), ("b", "true"), ("ab", "2"), ("-OiABC/z", "null"), (None, "1")])
     assert sorted(r.path for r in tree.subtree(t, "/a/").collect()) == ["x", "y/0"]
-    assert {r.key: json.loads(r.value) for r in tree.shallow(t).filter("key <> '-OiABC'").collect()} == {"a": {".sz": 4}, "b": True, "ab": 2}
+    assert {r.key: json.loads(r.value) for r in tree.shallow(t).filter("key <> '-OiABC'").collect()} == {"a": {".sz": 32}, "b": True, "ab": 2}
     assert {r.key: r.value for r in tree.shallow_truncated(t, "a").collect()} == {"x": True, "y": True}
     built = {r.path: json.loads(r.value) for r in tree.assemble(t.filter("path not like '-%'")).collect()}
     assert built == {"a": {"x": 1, "y": ["s"]}, "b": True, "ab": 2}
