@@ -1,9 +1,13 @@
 """Deciding requests by a rules tree: cascades of .read and .write, .validate on what is written.
 
-Requests have id, db, path, auth (struct<uid, provider, token: map<string,string>> or
+Requests have id (unique), db, path, auth (struct<uid, provider, token: map<string,string>> or
 null; token values are JSON), now (ms) and, for writes, op and value. The tree is a leaf
-table (db, path, value). Rules are JSON with comments. Without rules everything is
-allowed; an admin (``is_admin``) passes; a null or broken value denies.
+table (db, path, value). Rules are JSON with comments. Without rules (None, or a text that
+holds none) everything is allowed; an admin (``is_admin``) passes; a null or broken value denies.
+
+All places of the tree that the rules of a request table ask for are answered by one join. The
+places asked for are reduced to distinct ones before they meet the tree, and a place that many
+requests ask for is spread over ``SALTS`` copies of its answer.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopy import model
-from canopy.functions.jsontext import INVALID, children, has_leaf, parse
+from canopy.functions.jsontext import INVALID, children, dump, has_leaf, parse
 from canopy.model import CONTAINER, NULL
 from canopy.operators.tree import flatten_json
 from canopy.rules import syntax
@@ -24,6 +28,7 @@ from canopy.rules.compiler import Compiler, Val, literal, null, of_number, of_st
 
 #: Strings over this many bytes read as null in a rule.
 VAL_BYTES = 100 << 10
+SALTS = 16
 NODE = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("num", T.DoubleType()), T.StructField("str", T.StringType())])
 
 
@@ -90,55 +95,82 @@ def _names(path: list[str], segs: Column, query: dict | None, environment: str =
     return out
 
 
-def nodes(leaf: DataFrame) -> DataFrame:
-    """db, path, node (rank, num, str) of every leaf and container."""
-    own = leaf.select("db", model.trimmed(F.col("path")).alias("path"), model.sort_key(F.col("value")).alias("node"))
-    box = F.struct(F.lit(CONTAINER).alias("rank"), F.lit(0.0).alias("num"), F.lit("").alias("str"))
-    above = own.select("db", F.explode(model.prefixes(F.col("path"), strict=True)).alias("path")).distinct().withColumn("node", box)
-    return own.unionByName(above)
-
-
-@F.pandas_udf(NODE)
-def _node_in(text: pd.Series, path: pd.Series) -> pd.DataFrame:
-    """The node at a relative path of a JSON text."""
+_BOX = (CONTAINER, 0.0, "")
 
-    def one(t, p):
-        v = parse(t)
-        v = None if v is INVALID else v
-        for k in [k for k in (p or "").split("/") if k]:
-            v = dict(children(v)).get(k) if isinstance(v, (dict, list)) else None
-        if isinstance(v, (dict, list)):
-            return (CONTAINER, 0.0, "") if has_leaf(v) else (NULL, 0.0, "")
-        if v is None:
-            return NULL, 0.0, ""
-        if isinstance(v, bool):
-            return (2 if v else 1), 0.0, ""
-        return (3, float(v), "") if isinstance(v, (int, float)) else (4, 0.0, v)
 
-    return pd.DataFrame([one(t, p) for t, p in zip(text, path)], columns=["rank", "num", "str"]).astype({"rank": "int32", "num": float})
+def nodes(leaf: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """db, path, node (rank, num, str) of every leaf and container, or of those ``asked`` for (db, path; distinct)."""
+    only = lambda df: df if asked is None else df.join(asked, ["db", "path"], "left_semi")
+    own = only(leaf.select("db", model.trimmed(F.col("path")).alias("path"), "value")).select("db", "path", model.sort_key(F.col("value")).alias("node"))
+    box = F.struct(F.lit(CONTAINER).alias("rank"), F.lit(0.0).alias("num"), F.lit("").alias("str"))
+    above = only(leaf.select("db", F.explode(model.prefixes(F.col("path"), strict=True)).alias("path"))).distinct().withColumn("node", box)
+    return own.unionByName(above)
 
 
-def _answer(requests: DataFrame, leaf: DataFrame, lookups) -> DataFrame:
-    """``requests`` with a column ``__n{i}`` per lookup: one equi-join each on (db, path)."""
-    tree = nodes(leaf) if lookups else None
-    out = requests
+def _node_at(v, rel: str) -> tuple[int, float, str]:
+    for k in filter(None, rel.split("/")):
+        v = dict(children(v)).get(k) if isinstance(v, (dict, list)) else None
+    if isinstance(v, (dict, list)):
+        return _BOX if has_leaf(v) else (NULL, 0.0, "")
+    if v is None:
+        return NULL, 0.0, ""
+    if isinstance(v, bool):
+        return (2 if v else 1), 0.0, ""
+    return (3, float(v), "") if isinstance(v, (int, float)) else (4, 0.0, v)
+
+
+def _written(op: str, path: str, value) -> list[tuple[str, object]]:
+    """(path, value) of each subtree a write replaces, without outer slashes."""
+    path, v = path.strip("/"), None if op == "d" or value is None else parse(value)
+    if v is INVALID:
+        v = None
+    if op != "u":
+        return [(path, v)]
+    return [(f"{path}/{k.strip('/')}".strip("/"), v[k]) for k in sorted(v)] if isinstance(v, dict) else []
+
+
+@F.pandas_udf(T.StructType([*NODE.fields, T.StructField("own", T.BooleanType())]))
+def _new_node(op: pd.Series, w_path: pd.Series, value: pd.Series, path: pd.Series) -> pd.DataFrame:
+    """The node at a path as a write would leave it; ``own`` is false where the tree decides.
+
+    Inside what is written the payload decides; above it there is a container if anything
+    written stays; elsewhere, and above what only removes, the tree does.
+    """
+
+    def one(o, w, text, p):
+        if p is None or w is None:
+            return NULL, 0.0, "", False
+        box = False
+        for at, v in _written(o, w, text):
+            if p == at or at == "" or p.startswith(at + "/"):
+                return *_node_at(v, p[len(at) :]), True
+            box = box or ((p == "" or at.startswith(p + "/")) and (has_leaf(v) if isinstance(v, (dict, list)) else v is not None))
+        return (*_BOX, True) if box else (NULL, 0.0, "", False)
+
+    return pd.DataFrame([one(*row) for row in zip(op, w_path, value, path)], columns=["rank", "num", "str", "own"]).astype({"rank": "int32", "num": float, "own": bool})
+
+
+def _answer(rows: DataFrame, keys: list[str], leaf: DataFrame, lookups) -> DataFrame:
+    """``rows`` (one per ``keys``) with a column ``__n{i}`` per lookup."""
+    if not lookups:
+        return rows
+    places = F.array(*[model.trimmed(path) for _, path in lookups])
+    pairs = rows.select(*keys, "db", F.posexplode(places).alias("__i", "__p")).filter("__p is not null")
+    answers = nodes(leaf, pairs.select("db", F.col("__p").alias("path")).distinct()).withColumnRenamed("path", "__p").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = pairs.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(answers, ["db", "__p", "__salt"])
+    told = told.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("node"))).alias(f"__t{i}") for i in range(len(lookups))])
+    out = rows.join(told, keys, "left")
     for i, (source, path) in enumerate(lookups):
-        out = out.withColumn("__p", model.trimmed(path))
-        out = out.join(tree.select("db", F.col("path").alias("__p"), F.col("node").alias("__d")), ["db", "__p"], "left")
-        node = F.col("__d")
+        node = F.col(f"__t{i}")
         if source == "new":
-            at = model.trimmed(F.col("w_path"))
-            below = (F.col("__p") == at) | model.is_ancestor(at, F.col("__p"))
-            rel = F.coalesce(model.relative_to(F.col("__p"), at), F.lit(""))
-            made = _node_in(F.when(below, F.col("value")).otherwise(F.lit(None).cast("string")), rel)
-            box = F.struct(F.lit(CONTAINER).alias("rank"), F.lit(0.0).alias("num"), F.lit("").alias("str"))
-            wrote = _node_in(F.col("value"), F.lit("")).getField("rank") != NULL
-            node = F.when(below, made).when(model.is_ancestor(F.col("__p"), at) & wrote, box).otherwise(F.col("__d"))
-        out = out.withColumn(f"__n{i}", F.when(F.octet_length(node.getField("str")) <= VAL_BYTES, node)).drop("__p", "__d")
+            out = out.withColumn(f"__w{i}", _new_node(F.col("op"), F.col("w_path"), F.col("value"), model.trimmed(path)))
+            made = F.col(f"__w{i}")
+            node = F.when(made["own"], F.struct(made["rank"].alias("rank"), made["num"].alias("num"), made["str"].alias("str"))).otherwise(node)
+        out = out.withColumn(f"__n{i}", F.when(F.octet_length(node.getField("str")) <= VAL_BYTES, node))
     return out
 
 
-def _decide(requests: DataFrame, leaf: DataFrame, rules: Rules, kind: str, query: dict | None, volatile: bool) -> tuple[DataFrame, Column]:
+def _decide(requests: DataFrame, leaf: DataFrame, rules: Rules, kind: str, query: dict | None, volatile: bool, keys: list[str]) -> tuple[DataFrame, Column]:
     segs = model.segments(F.col("path"))
     compiler = Compiler({})
     verdict = F.lit(False)
@@ -146,35 +178,101 @@ def _decide(requests: DataFrame, leaf: DataFrame, rules: Rules, kind: str, query
         if k == kind and (not volatile or rules.simple(i)):
             compiler.names = _names(path, segs, query, rules.environment)
             verdict = verdict | (_applies(path, siblings, segs, False) & compiler.boolean(tree))
-    return _answer(requests, leaf, compiler.lookups), verdict
+    return _answer(requests, keys, leaf, compiler.lookups), verdict
 
 
-def can_read(requests: DataFrame, leaf: DataFrame, rules: Rules, query: dict | None = None) -> DataFrame:
+def can_read(requests: DataFrame, leaf: DataFrame, rules: Rules | None, query: dict | None = None) -> DataFrame:
     """``requests`` with ``allowed``: any rule on the way to the path grants."""
-    answered, verdict = _decide(requests, leaf, rules, "read", query, False)
+    if rules is None or not rules.rules:
+        return requests.withColumn("allowed", F.lit(True))
+    answered, verdict = _decide(requests, leaf, rules, "read", query, False, ["id"])
     return answered.select(*requests.columns, (_admin(requests) | verdict).alias("allowed"))
 
 
+def revoked(subscriptions: DataFrame, leaf: DataFrame, rules: Rules | None) -> DataFrame:
+    """Subscriptions (requests) that may not read their path any more, as after a change of rules or auth."""
+    return can_read(subscriptions, leaf, rules).filter(~F.col("allowed")).drop("allowed")
+
+
 def _admin(requests: DataFrame) -> Column:
     return F.coalesce(F.col("is_admin"), F.lit(False)) if "is_admin" in requests.columns else F.lit(False)
 
 
-def can_write(requests: DataFrame, leaf: DataFrame, rules: Rules, volatile: bool = False) -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))
+def _update_keys(value: pd.Series) -> pd.Series:
+    """The keys of an UPDATE with their values as JSON text; null for what is no object."""
+    return value.map(lambda t: [{"key": k, "value": dump(x)} for k, x in sorted(v.items())] if isinstance(v := parse(t), dict) else None)
+
+
+def can_write(requests: DataFrame, leaf: DataFrame, rules: Rules | None, volatile: bool = False) -> DataFrame:
     """``requests`` (with op and value) with ``allowed``: a .write grants on the way, and every .validate
-    on the path and on each node written below it passes. Deletes skip .validate."""
-    r = requests.withColumn("w_path", F.col("path"))
-    answered, verdict = _decide(r, leaf, rules, "write", None, volatile)
-    granted = answered.select(*requests.columns, verdict.alias("__w"))
-    written = requests.filter((F.col("op") != "d") & F.col("value").isNotNull() & (F.col("value") != "null"))
-    below = flatten_json(written, ["id"], "value").select("id", F.explode(model.prefixes(F.col("path"))).alias("rel")).distinct()
-    at = written.join(below, "id").withColumn("w_path", F.col("path")).withColumn("v_path", model.joined(F.col("path"), F.col("rel")))
-    up = written.withColumn("w_path", F.col("path")).withColumn("rel", F.lit("")).withColumn("v_path", F.explode(model.prefixes(F.col("path"), strict=True)))
-    rows = at.unionByName(up).withColumn("path", F.col("v_path"))
+    on the path and on each node written below it passes. Deletes skip .validate. An UPDATE that
+    is denied as a whole is allowed if each of its keys is, as a SET of its own."""
+    if rules is None or not rules.rules:
+        return requests.withColumn("allowed", F.lit(True))
+    cols = [c for c in ("id", "db", "path", "auth", "now", "op", "value") if c in requests.columns]
+    whole = requests.select(*cols, F.lit(-1).alias("__k"))
+    keyed = requests.filter("op = 'u'").select(*cols, F.posexplode(_update_keys("value")).alias("__k", "__e"))
+    single = keyed.select(*[c for c in cols if c not in ("path", "op", "value")], model.joined(F.col("path"), F.col("__e.key")).alias("path"), F.lit("s").alias("op"), F.col("__e.value").alias("value"), "__k")
+    judged = _can_write(whole.unionByName(single), leaf, rules, volatile)
+    verdict = judged.groupBy("id").agg(F.max(F.when(F.col("__k") < 0, F.col("ok"))).alias("__whole"), F.min(F.when(F.col("__k") >= 0, F.col("ok"))).alias("__each"))
+    shape = F.schema_of_variant(F.try_parse_json("value"))
+    sound = (F.col("op") == "d") | (F.col("value").isNull() & (F.col("op") == "s")) | F.when(F.col("op") == "u", F.startswith(shape, F.lit("OBJECT"))).otherwise(shape.isNotNull())
+    allowed = F.coalesce(sound, F.lit(False)) & (F.coalesce("__whole", F.lit(False)) | F.coalesce("__each", F.lit(False)))
+    return requests.join(verdict, "id", "left").select(*requests.columns, (_admin(requests) | allowed).alias("allowed"))
+
+
+def _can_write(writes: DataFrame, leaf: DataFrame, rules: Rules, volatile: bool) -> DataFrame:
+    """id, __k, ok of each write (one per id and ``__k``)."""
+    key = ["id", "__k"]
+    answered, verdict = _decide(writes.withColumn("w_path", F.col("path")), leaf, rules, "write", None, volatile, key)
+    granted = answered.select(*key, verdict.alias("__w"))
+    put = writes.filter((F.col("op") != "d") & F.col("value").isNotNull() & (F.trim("value") != "null")).withColumn("w_path", F.col("path"))
+    below = flatten_json(put, key, "value").select(*key, F.explode(model.prefixes(F.col("path"))).alias("rel")).distinct()
+    at = put.join(below, key).withColumn("path", model.joined(F.col("w_path"), F.col("rel"))).drop("rel")
+    up = put.withColumn("path", F.explode(model.prefixes(F.col("w_path"), strict=True)))
+    rows = at.unionByName(up)
     segs, compiler, valid = model.segments(F.col("path")), Compiler({}), F.lit(True)
     for path, siblings, k, tree in rules.rules:
         if k == "validate":
             compiler.names = _names(path, segs, None, rules.environment)
             valid = valid & (~_applies(path, siblings, segs, True) | compiler.boolean(tree))
-    broken = _answer(rows, leaf, compiler.lookups).filter(~valid).select("id").distinct().withColumn("__bad", F.lit(True))
-    j = granted.join(broken, "id", "left")
-    return j.select(*requests.columns, (_admin(requests) | (F.col("__w") & F.col("__bad").isNull())).alias("allowed"))
+    broken = _answer(rows, [*key, "path"], leaf, compiler.lookups).filter(~valid).select(*key).distinct().withColumn("__bad", F.lit(True))
+    return granted.join(broken, key, "left").select(*key, (F.col("__w") & F.col("__bad").isNull()).alias("ok"))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])))
+def _writes_at(op: pd.Series, path: pd.Series, value: pd.Series, view: pd.Series) -> pd.Series:
+    def put(out, segments, v):
+        *head, tail = segments
+        for k in head:
+            if not isinstance(out.get(k), dict):
+                out[k] = {}
+            out = out[k]
+        if not (isinstance(v, dict) and isinstance(out.get(tail), dict)):
+            out[tail] = v
+            return
+        for k, x in v.items():  # both are objects: the later one's keys count
+            put(out[tail], [k], x)
+
+    def one(o, p, text, at):
+        at, out = at.strip("/"), {}
+        for where, v in _written(o, p, text):
+            if at == where or where == "" or at.startswith(where + "/"):
+                for k in filter(None, at[len(where) :].split("/")):
+                    v = dict(children(v)).get(k) if isinstance(v, (dict, list)) else None
+                for k, x in children(v) if isinstance(v, (dict, list)) else ():
+                    put(out, [k], x)
+            elif at == "" or where.startswith(at + "/"):
+                put(out, [k for k in where[len(at) :].split("/") if k], v)
+        return [{"name": k, "value": dump(x)} for k, x in sorted(out.items())]
+
+    return pd.Series([None if None in (o, p, at) else one(o, p, t, at) for o, p, t, at in zip(op, path, value, view)], dtype=object)
+
+
+def writes_at(writes: DataFrame, view_path: Column) -> DataFrame:
+    """``writes`` with name and value (JSON, perhaps a part only) of each child of ``view_path`` that a write touches.
+
+    Keys of an UPDATE that lie below one child are merged; a delete gives null.
+    """
+    return writes.select("*", F.explode(_writes_at(F.col("op"), F.col("path"), F.col("value"), view_path)).alias("__c")).select(*writes.columns, "__c.name", F.col("__c.value").alias("child_value"))

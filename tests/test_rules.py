@@ -1,9 +1,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from canopy.rules import syntax
-from canopy.rules.engine import Rules, can_read, can_write
+from canopy.rules.engine import Rules, can_read, can_write, revoked, writes_at
 
 TREE = [("d", "users/u1/name", '"ann"'), ("d", "users/u1/age", "30"), ("d", "open", "true"), ("d", "admins/u2", "true"), ("d", "n", "5"), ("d", "z", "0")]
 REQ = "id long, db string, path string, auth struct<uid: string, provider: string, token: map<string, string>>, now double, op string, value string"
@@ -105,3 +106,45 @@ def test_cascade_wildcards_and_validate(spark):
     got = {r.id: r.allowed for r in can_write(spark.createDataFrame(writes, REQ), leaf, rules).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True, 7: False, 8: False}
     assert can_read(spark.createDataFrame([], REQ), leaf, rules).count() == 0
+
+
+def test_no_rules_allow(spark):
+    leaf = spark.createDataFrame(TREE, "db string, path string, value string")
+    reqs = spark.createDataFrame([(1, "d", "/a", None, 1.0, "s", "1")], REQ)
+    for rules in (None, Rules({}), Rules({"rules": {}})):
+        assert [r.allowed for r in can_read(reqs, leaf, rules).collect()] == [True] == [r.allowed for r in can_write(reqs, leaf, rules).collect()]
+    assert revoked(reqs, leaf, Rules({"rules": {".write": True}})).count() == 1 and revoked(reqs, leaf, None).count() == 0
+
+
+def test_updates_see_the_tree_and_fall_back_to_their_keys(spark):
+    rules = Rules({"rules": {
+        "users": {"$u": {".write": "newData.hasChildren(['name','age']) && newData.child('age').isNumber()", ".validate": "newData.child('name').exists()", "age": {".validate": "newData.val() < 200"}}},
+        "free": {"a": {".write": True}, "b": {".write": "newData.val() === 1"}, "c": {"d": {".write": True}}},
+        "count": {".write": "newData.parent().child('n').val() === 5 && root.child('n').val() === 5"}}})
+    leaf = spark.createDataFrame(TREE, "db string, path string, value string")
+    writes = [
+        (1, "/users/u1", "u", '{"age":5}', True),  # the stored name counts
+        (2, "/users/u1", "u", '{"name":null}', False),
+        (3, "/users/u9", "u", '{"age":5}', False),
+        (4, "/users/u1", "u", '{"age":500}', False),
+        (5, "/users/u1", "s", '{"age":5}', False),
+        (6, "/free", "u", '{"a":9,"b":1}', True),
+        (7, "/free", "u", '{"a":9,"b":2}', False),
+        (8, "/free", "u", '{"c/d":{"x":1}}', True),
+        (9, "/free", "u", '{"c":1}', False),
+        (10, "/free", "u", "5", False),
+        (11, "/users", "u", '{"u1/age":7}', True),
+        (12, "/count", "s", "1", True),
+        (13, "/free/a", "d", None, True),
+        (14, "/users/u1", "u", "{", False),
+    ]
+    reqs = spark.createDataFrame([(i, "d", p, None, 1.0, op, v) for i, p, op, v, _ in writes], REQ)
+    assert {r.id: r.allowed for r in can_write(reqs, leaf, rules).collect()} == {w[0]: w[4] for w in writes}
+
+
+def test_writes_at(spark):
+    rows = [(1, "s", "/", '{"v":{"a":1,"b":[2]}}'), (2, "s", "/v/a/x", "1"), (3, "u", "/v", '{"a/b":1,"a/c":2,"q":null}'), (4, "u", "/", '{"v/a/b":{"x":1},"v/a":{"k":3},"w":1}'), (5, "d", "/v", None), (6, "d", "/v/a", None), (7, "s", "/w", "1")]
+    got = {}
+    for r in writes_at(spark.createDataFrame(rows, "id int, op string, path string, value string"), F.lit("/v/")).collect():
+        got.setdefault(r.id, {})[r.name] = json.loads(r.child_value)
+    assert got == {1: {"a": 1, "b": [2]}, 2: {"a": {"x": 1}}, 3: {"a": {"b": 1, "c": 2}, "q": None}, 4: {"a": {"k": 3, "b": {"x": 1}}}, 6: {"a": None}}
