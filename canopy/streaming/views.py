@@ -3,24 +3,31 @@
 A view is one (db, view_path, query_id); its keyed state is a map of child key to value
 (in the state store, not in memory) and the ordered keys of its window, which a limit
 bounds. Rows of a micro-batch are applied in order of seq. A change that can't alter
-the window costs one comparison with its edge; only when a child leaves a full window
-is the map scanned for the one that follows.
+the window costs one comparison with its edge, one that stays inside it a place in a sorted
+list; only when a child of a full window leaves it or falls behind its edge is the map
+scanned for the one that follows.
 
 Events: ``put`` of a child's new value or null, ``patch`` where one child replaces
-another or a child inside the window changed. Null values remove; repeated rows with
-the same value give no events; unlimited views keep all their keys in the window.
+another or a child inside the window changed, ``put`` at ``/`` of the whole window on
+subscribing and where the collection itself was replaced. Null values remove; repeated rows
+with the same value give no events; unlimited views keep all their keys in the window.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from canopy.functions.jsontext import INVALID, children, dump, has_leaf, parse
+from canopy.operators.mutations import match_views
 from canopy.operators.query import TreeQuery
 
 EVENT_SCHEMA = "db string, view_path string, query_id string, seq long, ord int, ev string, rel_path string, data string"
@@ -91,6 +98,22 @@ def in_range(q: TreeQuery, place: tuple, key: str) -> bool:
     return True
 
 
+def _placed_in(value, segments: list[str], v):
+    """``value`` with ``v`` at a path below it; containers left empty vanish, scalars on the way give way to what is written."""
+    if not segments:
+        return v
+    k, *rest = segments
+    box = dict(children(value)) if isinstance(value, (dict, list)) else {}
+    if v is None and k not in box:
+        return value
+    x = _placed_in(box.get(k), rest, v)
+    if x is None or (isinstance(x, (dict, list)) and not has_leaf(x)):
+        box.pop(k, None)
+    else:
+        box[k] = x
+    return box or None
+
+
 class ViewProcessor(StatefulProcessor):
     """Keeps each view's window and emits what changed. ``queries`` maps query_id to its query."""
 
@@ -101,63 +124,97 @@ class ViewProcessor(StatefulProcessor):
         self.values = handle.getMapState("values", "key string", "value string")
         self.window = handle.getValueState("window", "keys array<string>")
 
+    def _value(self, key):
+        return self.values.getValue((key,))[0] if self.values.containsKey((key,)) else None
+
+    def _keep(self, key, text):
+        if text is not None:
+            self.values.updateValue((key,), (text,))
+        elif self.values.containsKey((key,)):
+            self.values.removeKey((key,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        q = self.queries[key[2]]
-        keys = list(self.window.get()[0]) if self.window.exists() else []
-        places = {}
-        for k in keys:
-            places[k] = child_order(q, k, json.loads(self.values.getValue((k,))[0]))
-        out = []
-        for r in sorted(rows, key=lambda r: r.seq):
-            had = self.values.getValue((r.key,))[0] if self.values.containsKey((r.key,)) else None
-            if had == r.value:
-                continue
-            if r.value is None:
-                self.values.removeKey((r.key,))
-            else:
-                self.values.updateValue((r.key,), (r.value,))
-            before = list(keys)
-            places.pop(r.key, None)
-            was_in = r.key in before
-            now = sorted(places.items(), key=lambda kp: kp[1])
-            place = None if r.value is None else child_order(q, r.key, json.loads(r.value))
-            if place is not None and in_range(q, place, r.key):
-                now = sorted([*now, (r.key, place)], key=lambda kp: kp[1])
-            n = q.first if q.first is not None else q.last
-            if n is not None and n >= 0:
-                if was_in and len(before) >= n:
-                    # the window was full and one of its own may have left: others may follow
-                    now = self._scan(q, n)
-                else:
-                    now = now[:n] if q.first is not None else now[len(now) - n :] if len(now) > n else now
-            places = dict(now)
-            keys = [k for k, _ in now]
-            events = self._events(before, keys, r, was_in)
+        self.q = self.queries[key[2]]
+        n = self.q.first if self.q.first is not None else self.q.last
+        self.n = None if n is None or n < 0 else n
+        self.order, self.places, out = [], {}, []  # (place, key) of the window, ascending
+        for k in self.window.get()[0] if self.window.exists() else []:
+            self._insert(k, child_order(self.q, k, json.loads(self._value(k))))
+        for r in sorted(rows, key=lambda r: (r.seq, r.part)):
+            events = self._events(r)
             out += [Row(db=key[0], view_path=key[1], query_id=key[2], seq=r.seq, ord=i, ev=e, rel_path=p, data=d) for i, (e, p, d) in enumerate(events)]
-        self.window.update((keys,))
+        self.window.update(([k for _, k in self.order],))
         return iter(out)
 
-    def _scan(self, q, n):
-        def children():
-            for (k,), (v,) in self.values.iterator():
-                p = child_order(q, k, json.loads(v))
-                if in_range(q, p, k):
-                    yield k, p
-
-        pick = heapq.nsmallest if q.first is not None else heapq.nlargest
-        return sorted(pick(n, children(), key=lambda kp: kp[1]), key=lambda kp: kp[1])
-
-    def _events(self, before, keys, r, was_in):
-        entered, exited = [k for k in keys if k not in before], [k for k in before if k not in keys]
-        text = lambda k: r.value if k == r.key else self.values.getValue((k,))[0]
+    def _whole(self):
+        return ("put", "/", "{" + ",".join(f"{json.dumps(k)}:{self._value(k)}" for _, k in self.order) + "}" if self.order else "null")
+
+    def _events(self, r) -> list[tuple[str, str, str]]:
+        if r.kind == "sub":
+            return [self._whole()]
+        if r.kind in ("all", "unsub"):
+            new = json.loads(r.value) if r.kind == "all" and r.value is not None else None
+            for (k,) in [k for k, _ in self.values.iterator()]:
+                self.values.removeKey((k,))
+            for k, v in children(new) if isinstance(new, (dict, list)) else ():
+                if v is not None and (not isinstance(v, (dict, list)) or has_leaf(v)):
+                    self._keep(k, dump(v))
+            self._scan()
+            return [self._whole()] if r.kind == "all" else []
+        had, text = self._value(r.key), r.value
+        if r.rel:
+            v = _placed_in(None if had is None else json.loads(had), r.rel.split("/"), None if text is None else json.loads(text))
+            text = None if v is None else dump(v)
+        if had == text:
+            return []
+        self._keep(r.key, text)
+        was_in = r.key in self.places
+        place = None if text is None else child_order(self.q, r.key, json.loads(text))
+        entered, exited = self._move(r.key, place if place is not None and in_range(self.q, place, r.key) else None)
         if entered and exited:
-            body = ",".join([f"{json.dumps(k)}:null" for k in exited] + [f"{json.dumps(k)}:{text(k)}" for k in entered])
+            body = ",".join([f"{json.dumps(k)}:null" for k in exited] + [f"{json.dumps(k)}:{self._value(k)}" for k in entered])
             return [("patch", "/", "{" + body + "}")]
-        events = [("put", f"/{k}", "null") for k in exited] + [("put", f"/{k}", text(k)) for k in entered]
-        if r.key in keys and was_in and r.key not in entered:
-            events.append(("patch", "/", "{" + f"{json.dumps(r.key)}:{r.value}" + "}"))
+        events = [("put", f"/{k}", "null") for k in exited] + [("put", f"/{k}", self._value(k)) for k in entered]
+        if was_in and r.key in self.places:
+            events.append(("patch", "/", "{" + f"{json.dumps(r.key)}:{text}" + "}"))
         return events
 
+    def _insert(self, key, place):
+        bisect.insort(self.order, (place, key))
+        self.places[key] = place
+
+    def _move(self, key, place) -> tuple[list[str], list[str]]:
+        """Give a child its new place (None: out of the query's range); the keys that entered and left the window."""
+        first, full = self.q.first is not None, self.n is not None and len(self.order) == self.n
+        edge = (self.order[-1] if first else self.order[0]) if self.order else None
+        was = self.places.pop(key, None)
+        if was is not None:
+            self.order.pop(bisect.bisect_left(self.order, (was, key)))
+        if was is not None and full and (place is None or ((place, key) > edge if first else (place, key) < edge)):
+            before = {key, *self.places}
+            self._scan()
+            return [k for _, k in self.order if k not in before], [k for k in sorted(before) if k not in self.places]
+        if place is None or self.n == 0:
+            return [], [key] if was is not None else []
+        self._insert(key, place)
+        left = []
+        if self.n is not None and len(self.order) > self.n:
+            left = [self.order.pop(-1 if first else 0)[1]]
+            del self.places[left[0]]
+        if left == [key]:
+            return [], []
+        return ([key] if was is None else []), left
+
+    def _scan(self):
+        def ranged():
+            for (k,), (v,) in self.values.iterator():
+                p = child_order(self.q, k, json.loads(v))
+                if in_range(self.q, p, k):
+                    yield p, k
+
+        pick = sorted(ranged()) if self.n is None else sorted((heapq.nsmallest if self.q.first is not None else heapq.nlargest)(self.n, ranged()))
+        self.order, self.places = pick, {k: p for p, k in pick}
+
     def close(self) -> None:
         pass
 
@@ -165,12 +222,49 @@ class ViewProcessor(StatefulProcessor):
 def live_views(changes: DataFrame, queries: dict[str, TreeQuery]) -> DataFrame:
     """Events of views. ``changes`` (stream or table): db, view_path, query_id, seq, key, value (JSON or null).
 
-    Needs the RocksDB state store provider on the session.
+    With a column ``rel`` the value stands that far below the child. With ``kind``: ``sub`` gives the
+    window as it is (no key needed), ``unsub`` drops the view's state, ``all`` replaces the whole
+    collection by the value. Needs the RocksDB state store provider on the session.
     """
-    slim = changes.select("db", "view_path", "query_id", F.col("seq").cast("long").alias("seq"), "key", "value").filter("key is not null")
+    extra = [(F.col(c) if c in changes.columns else F.lit(None).cast("string")).alias(c) for c in ("rel", "kind")] + [(F.col("part") if "part" in changes.columns else F.lit(0)).cast("int").alias("part")]
+    slim = changes.select("db", "view_path", "query_id", F.col("seq").cast("long").alias("seq"), "key", "value", *extra).filter("key is not null or kind in ('sub', 'unsub', 'all')")
     return slim.groupBy("db", "view_path", "query_id").transformWithState(ViewProcessor(queries), EVENT_SCHEMA, "Append", "None")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("key", "rel", "value", "kind")])))
+def _child_changes(op: pd.Series, path: pd.Series, value: pd.Series, view: pd.Series) -> pd.Series:
+    def one(o, p, text, at):
+        p, v = p.strip("/"), None if o == "d" or text is None else parse(text)
+        if v is INVALID or (o == "u" and not isinstance(v, dict)):
+            return []
+        parts = [(p, v)] if o != "u" else [(f"{p}/{k.strip('/')}".strip("/"), v[k]) for k in sorted(v)]
+        out = []
+        for where, x in parts:
+            if where == at or where == "" or at.startswith(where + "/"):
+                for k in filter(None, at[len(where) :].split("/")):
+                    x = dict(children(x)).get(k) if isinstance(x, (dict, list)) else None
+                out.append({"key": None, "rel": None, "value": None if x is None else dump(x), "kind": "all"})
+            elif at == "" or where.startswith(at + "/"):
+                key, _, rel = where[len(at) :].strip("/").partition("/")
+                gone = x is None or (isinstance(x, (dict, list)) and not has_leaf(x))
+                out.append({"key": key, "rel": rel or None, "value": None if gone else dump(x), "kind": None})
+        return out
+
+    return pd.Series([one(*row) for row in zip(op, path, value, view)], dtype=object)
+
+
+def view_changes(mutations: DataFrame, views: DataFrame) -> DataFrame:
+    """Rows for :func:`live_views` of the views (db, view_path, query_id) that mutations (db, seq, op, path, value) reach.
+
+    A write below a child is its new value at ``rel``, so a sort field deep in a child moves it;
+    a write of the view's path or above replaces the collection. The parts of an update that fall
+    into one view have places of their own (``part``) after seq.
+    """
+    m = match_views(mutations, views)
+    parts = m.select("db", F.col("v_path").alias("view_path"), "query_id", "seq", F.posexplode(_child_changes("op", "m_path", "value", "v_path")).alias("i", "c"))
+    return parts.select("db", "view_path", "query_id", "seq", F.col("i").alias("part"), "c.key", "c.value", "c.rel", "c.kind")
+
+
 def volatile_flush(writes: DataFrame, keys: list[str], ts: str, millis: int, value: str, seq: str) -> DataFrame:
     """The last value per key and flush window of ``millis`` (epoch-aligned), by time then seq."""
     ms = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1000 * millis)) * millis

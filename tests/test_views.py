@@ -56,3 +56,36 @@ def test_volatile_and_empty(spark):
     got = sorted((r.value, r.coalesced) for r in views.volatile_flush(df, ["k"], "t", 50, "v", "s").fillna(-1).collect())
     assert got == [(-1, 1), (3, 3)]
     assert views.volatile_flush(df.limit(0), ["k"], "t", 50, "v", "s").count() == 0
+
+
+def test_deep_writes_subscriptions_and_replaced_collections(spark, tmp_path):
+    q = {"top": TreeQuery().order_by_child("s/n").limit_to_first(2)}
+    mu = [
+        (1, "s", "/v", '{"a":{"s":{"n":1}},"b":{"s":{"n":2}},"c":{"s":{"n":3}}}'),
+        (3, "s", "/v/a/s/n", "9"),  # a falls behind the edge: c follows
+        (4, "u", "/v", '{"b/s/n":null,"c/t":true}'),
+        (5, "s", "/v/z/t", "1"),  # null orders first
+        (6, "d", "/v/b", None),
+        (7, "d", "/", None),
+        (9, "s", "/v/k", "1"),
+    ]
+    views_ = spark.createDataFrame([("d", "/v", "top")], "db string, view_path string, query_id string")
+    rows = views.view_changes(spark.createDataFrame([("d", *m) for m in mu], "db string, seq long, op string, path string, value string"), views_)
+    sub = spark.createDataFrame([("d", "v", "top", s, 0, None, None, None, k) for s, k in ((2, "sub"), (8, "unsub"), (10, "sub"))], rows.select("db", "view_path", "query_id", "seq", "part", "key", "value", "rel", "kind").schema)
+    rows.unionByName(sub).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = views.run_available(views.live_views(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), q), str(tmp_path / "run"))
+    events = [(e.seq, e.ev, e.rel_path, json.loads(e.data)) for e in sorted(got.collect(), key=lambda e: (e.seq, e.ord))]
+    a, b, c = {"s": {"n": 1}}, {"s": {"n": 2}}, {"s": {"n": 3}}
+    assert events[:3] == [(1, "put", "/", {"a": a, "b": b}), (2, "put", "/", {"a": a, "b": b}), (3, "patch", "/", {"a": None, "c": c})]
+    window, seen = {}, []
+    for s, ev, rel, data in events:
+        for k, v in ({rel[1:]: data} if rel != "/" else data or {}).items():
+            window.pop(k, None) if v is None else window.__setitem__(k, v)
+        if rel == "/" and ev == "put":
+            window = dict(data or {})
+        seen.append((s, dict(window)))
+    last = dict(seen)
+    assert last[3] == {"b": b, "c": c}
+    assert last[4] == {"c": {"s": {"n": 3}, "t": True}, "a": {"s": {"n": 9}}}
+    assert last[5] == {"z": {"t": 1}, "c": {"s": {"n": 3}, "t": True}}
+    assert last[7] == {} and last[9] == {"k": 1} == last[10]
