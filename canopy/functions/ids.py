@@ -35,19 +35,12 @@ def push_id(ms: Column, seed: Column) -> Column:
     return F.concat(push_time(ms), *tail)
 
 
-@F.pandas_udf(T.LongType())
-def fnv1a32(text: pd.Series) -> pd.Series:
+def fnv1a32(text: Column | str) -> Column:
     """FNV-1a, 32 bits, of the UTF-8 bytes."""
-
-    def one(t):
-        if t is None:
-            return None
-        h = 0x811C9DC5
-        for b in t.encode("utf-8", "replace"):
-            h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-        return h
-
-    return text.map(one).astype("Int64")
+    raw = F.encode(text, "UTF-8")
+    byte = lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint")
+    places = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(1), F.octet_length(raw))).when(raw.isNotNull(), F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(0x811C9DC5).cast("bigint"), lambda h, i: ((h.bitwiseXOR(byte(i))) * 0x01000193).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 @F.pandas_udf(T.StringType())

@@ -55,6 +55,18 @@ def accumulate(samples: DataFrame, keys: list[str], ts: str, seconds: int, sums:
     return g.filter(active) if sums else g
 
 
+def flush_rows(samples: DataFrame, keys: list[str], ts: str, seconds: int, sums: list[str], gauges: list[str], ccu: str, latency: str, order: str | None = None) -> DataFrame:
+    """Rows of a periodic flush: sums, last gauges, the mean latency as p50 and 0 as p99; idle windows are left out.
+
+    A window's peak starts from the last ``ccu`` of the key's window before, as a flush resets it to that.
+    """
+    quiet = accumulate(samples, keys, ts, seconds, [], [ccu], [ccu], order=order)
+    carried = F.greatest(F.col(f"max_{ccu}"), F.lag(f"last_{ccu}").over(Window.partitionBy(*keys).orderBy("window_s")))
+    peaks = quiet.select(*keys, "window_s", carried.alias(f"peak_{ccu}"))
+    busy = accumulate(samples, keys, ts, seconds, sums, [*gauges, ccu], [], latency, order=order)
+    return busy.drop("latency_max").join(peaks, [*keys, "window_s"]).withColumn("p99", F.lit(0).cast("bigint"))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: tuple[int, ...] = (50, 90, 99), rounding: str = "floor") -> DataFrame:
     """Nearest-rank percentiles: the value at index floor((n-1)p/100) (or rounded), no interpolation.
 
@@ -111,7 +123,7 @@ def time_range(start_s: int | None, end_s: int | None, now_s: int) -> tuple[int,
     end = now_s if end_s is None else end_s
     start = end - DEFAULT_RANGE_S if start_s is None else start_s
     if end <= start:
-        raise ValueError("end must be after start")
+        raise ValueError("a range ends after it begins")
     if end - start > MAX_RANGE_S:
         raise ValueError("range above 30 days")
     return start, end

@@ -434,8 +434,8 @@ def on_disconnect(registrations: DataFrame, leaves_: DataFrame) -> DataFrame:
     return fired.withColumn("value", server_values(F.col("value"), F.col("ts_ms"))).drop("ts_ms")
 
 
-def rate_limited(writes: DataFrame, key: str, ts_s: str, size: str) -> DataFrame:
-    """``allowed`` per write under a token bucket (512 MiB burst, 64 MiB each 15 s), in order of time.
+def rate_limited(writes: DataFrame, key: str, ts_s: str, size: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``allowed`` per write under a token bucket (512 MiB burst, 64 MiB each 15 s), in order of time, then ``order``.
 
     The state passes from write to write, so a key's writes run in one ordered fold; rows
     stream through it in Arrow batches and the fold keeps two numbers.
@@ -443,7 +443,7 @@ def rate_limited(writes: DataFrame, key: str, ts_s: str, size: str) -> DataFrame
 
     schema = T.StructType([*writes.schema.fields, T.StructField("allowed", T.BooleanType())])
 
-    def fold(batches):
+    def fill(batches):
         at: dict = {}
         for b in batches:
             rows = b.to_pydict()
@@ -460,7 +460,7 @@ def rate_limited(writes: DataFrame, key: str, ts_s: str, size: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "allowed"])
 
     known = writes.filter(F.col(key).isNotNull() & F.col(ts_s).isNotNull() & F.col(size).isNotNull())
-    return known.repartition(F.col(key)).sortWithinPartitions(key, ts_s).mapInArrow(fold, schema)
+    return known.repartition(F.col(key)).sortWithinPartitions(key, ts_s, *order).mapInArrow(fill, schema)
 
 
 def match_views(mutations: DataFrame, views: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import json as _json
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy import model
@@ -226,6 +226,16 @@ def from_rest(params: dict[str, str]) -> TreeQuery:
     return q
 
 
+def predecessors(children: DataFrame, by: list[str], q: TreeQuery, key: str = "key", value: str | None = None) -> DataFrame:
+    """``children`` with ``previous``: the key before each in the query's order, in its collection ``by``; null for the first.
+
+    A collection is one ordered window, which sorts and spills but is not collected.
+    """
+    k = F.col(key).cast("string")
+    order = [model.key_struct(k)] if q.order == "key" else [q.sort_column(children, key, value), model.key_struct(k)]
+    return children.withColumn("previous", F.lag(k).over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def views_diff(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     """(key, change): entered, exited or stayed between two results of one query."""
     a = old.select(F.col(key).alias("key"), F.lit(1).alias("a"))

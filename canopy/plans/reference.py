@@ -12,7 +12,7 @@ from canopy.functions import ids
 from canopy.operators import control, metrics, mutations, rolling, tree
 from canopy.operators.query import TreeQuery, views_diff
 from canopy.rules.compiler import utf16_length
-from canopy.rules.engine import Rules, can_read
+from canopy.rules.engine import Rules, can_read, can_write
 from canopy.session import epoch_seconds, placed, run_dir, table
 from canopy.sources import rest
 from canopy.streaming import views
@@ -83,17 +83,8 @@ _KEYS = "(SELECT CASE c_custkey % 4 WHEN 0 THEN 'k' || c_custkey WHEN 1 THEN '0'
 _INT = "CASE WHEN regexp_matches(key, '^(0|-?[1-9][0-9]*)$') AND TRY_CAST(key AS BIGINT) BETWEEN -2147483648 AND 2147483647 THEN TRY_CAST(key AS BIGINT) END"
 
 
-@query(f"SELECT key, CAST(ROW_NUMBER() OVER (ORDER BY {_INT} NULLS LAST, key) AS BIGINT) AS place FROM {_KEYS} ORDER BY place LIMIT 500")
-def order_by_key_int_first(spark, sf):
-    """Integer keys numerically, before the others bytewise."""
-    top = TreeQuery().order_by_key().limit_to_first(500).apply(_keys(spark, sf)).select("key", model.key_struct(F.col("key")).alias("k"))
-    from pyspark.sql import Window
-
-    return top.select("key", F.row_number().over(Window.orderBy("k")).cast("bigint").alias("place"))  # at most 500 rows
-
-
 @query(f"SELECT key, CAST(ROW_NUMBER() OVER (ORDER BY {_INT} NULLS LAST, key) AS BIGINT) AS place FROM {_KEYS}")
-def order_by_key_int_first_whole(spark, sf):
+def order_by_key_int_first(spark, sf):
     """The place of every key: integers numerically, then the others bytewise."""
     k = _keys(spark, sf).select("key", model.key_struct(F.col("key")).alias("k"))
     return placed(k, ["k"], "key-places").select("key", (F.col("place") + 1).alias("place"))
@@ -111,14 +102,8 @@ def _mixed(spark, sf):
 _RANKED = "(SELECT CAST(event_id AS VARCHAR) AS key, event_id, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN CASE WHEN value IS NULL THEN 0 ELSE 3 END ELSE 5 END AS r, CASE WHEN event_id % 5 = 3 THEN COALESCE(value, 0) ELSE 0 END AS n, CASE WHEN event_id % 5 = 2 THEN event_type ELSE '' END AS s FROM events)"
 
 
-@query(f"SELECT key FROM {_RANKED} ORDER BY r, n, s, event_id LIMIT 5000")
-def mixed_type_order(spark, sf):
-    """null < false < true < numbers < strings < containers, ties by key."""
-    return TreeQuery().order_by_value().limit_to_first(5000).apply(_mixed(spark, sf), value="json").select("key")
-
-
 @query(f"SELECT key, r AS rank, CAST(n AS DOUBLE) AS num, s AS str, CAST(ROW_NUMBER() OVER (ORDER BY r, n, s, event_id) AS BIGINT) AS place FROM {_RANKED}")
-def mixed_type_order_whole(spark, sf):
+def mixed_type_order(spark, sf):
     """Rank struct and place of every value in the order of mixed types, ties by key."""
     v = _mixed(spark, sf).select("key", model.sort_key(F.col("json")).alias("v"), model.key_struct(F.col("key")).alias("k"))
     return placed(v, ["v", "k"], "value-places").select("key", "v.*", (F.col("place") + 1).alias("place"))
@@ -146,10 +131,10 @@ def view_enter_exit(spark, sf):
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS key, CAST(LAG(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS VARCHAR) AS previous FROM supplier")
 def view_predecessor(spark, sf):
     """The previous child of each child, per collection."""
-    from pyspark.sql import Window
+    from canopy.operators.query import predecessors
 
-    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.lag("s_suppkey").over(w).cast("string").alias("previous"))
+    children = table(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").cast("string").alias("key"), "s_acctbal")
+    return predecessors(children, ["s_nationkey"], TreeQuery().order_by_child("s_acctbal")).select("key", "previous")
 
 
 # trees --------------------------------------------------------------------------------
@@ -173,9 +158,24 @@ def flatten_leaves(spark, sf):
     return tree.flatten_json(built, ["base"], "value").select(F.concat_ws("/", "base", "path").alias("path"), "value")
 
 
-@query("SELECT r_name AS key, COUNT(*) * 2 AS leaves FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("SELECT r_name AS key, COUNT(*) * 2 AS leaves, CAST(SUM(octet_length(encode(n_name)) + 2 + length(CAST(n_nationkey AS VARCHAR))) AS BIGINT) AS bytes FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def child_keys(spark, sf):
-    return tree.child_keys(_nations(spark, sf), "regions").select("key", "leaves")
+    return tree.child_keys(_nations(spark, sf), "regions").select("key", "leaves", "bytes")
+
+
+_SZ = "12 + 1 + SUM(length(CAST(n_nationkey AS VARCHAR)) + 4 + 1 + 7 + 12 + 8 + octet_length(encode(n_name)) + 2)"
+
+
+@query(f"SELECT r_name AS key, '{{\".sz\":' || CAST({_SZ} AS BIGINT) || '}}' AS value FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def shallow_sizes(spark, sf):
+    """A shallow read of containers: their size by the estimator."""
+    return tree.shallow(_nations(spark, sf), "regions").select("key", "value")
+
+
+@query("SELECT r_name AS key, CAST(2 + COUNT(*) * 3 AS BIGINT) AS nodes, CAST(COUNT(*) * 2 AS BIGINT) AS fields FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def subtree_counts(spark, sf):
+    """Nodes and fields of each subtree."""
+    return tree.child_sizes(_nations(spark, sf), "regions").select("key", "nodes", "fields")
 
 
 @query("SELECT 'name' AS key, '\"' || n_name || '\"' AS value FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'key', '3'")
@@ -200,7 +200,7 @@ def path_read(spark, sf):
 def _lines(spark, sf):
     li = table(spark, sf, "lineitem")
     path = F.concat_ws("/", F.lit("o"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    return li.select(F.lit("d").alias("db"), path.alias("path"), F.col("l_partkey").cast("string").alias("value")).dropDuplicates(["path"])
+    return li.groupBy(path.alias("path")).agg(F.min("l_partkey").cast("string").alias("value")).select(F.lit("d").alias("db"), "path", "value")
 
 
 @query("WITH k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT 'o/' || l_orderkey AS parent, COUNT(*) AS children, CAST(MAX(l_linenumber) AS BIGINT) AS max_index, MAX(l_linenumber) < 2 * COUNT(*) AS is_array FROM k GROUP BY l_orderkey")
@@ -209,11 +209,10 @@ def array_rule(spark, sf):
     return tree.array_shape(_lines(spark, sf)).filter(F.col("parent").startswith("o/")).select("parent", "children", "max_index", "is_array")
 
 
-@query("WITH k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT 'o/' || l_orderkey AS path, CAST(CASE WHEN MAX(l_linenumber) < 2 * COUNT(*) THEN MAX(l_linenumber) + 1 ELSE -1 END AS BIGINT) AS array_length FROM k GROUP BY l_orderkey")
+@query("WITH k AS (SELECT l_orderkey, l_linenumber, MIN(l_partkey) AS v FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey, MAX(l_linenumber) AS m, COUNT(*) AS c, MAP(list(l_linenumber), list(v)) AS kv FROM k GROUP BY 1) SELECT 'o/' || l_orderkey AS path, CASE WHEN m < 2 * c THEN '[' || array_to_string(list_transform(range(0, m + 1), lambda i: COALESCE(CAST(kv[i] AS VARCHAR), 'null')), ',') || ']' ELSE '{' || array_to_string(list_transform(list_sort(map_keys(kv)), lambda i: '\"' || i || '\":' || kv[i]), ',') || '}' END AS value FROM g")
 def assemble_subtree(spark, sf):
-    """Orders assembled to JSON; the length of those that are arrays, gaps included."""
-    a = tree.assemble(_lines(spark, sf), levels=2)
-    return a.select("path", F.coalesce(F.json_array_length("value"), F.lit(-1)).cast("bigint").alias("array_length"))
+    """Orders assembled to JSON: arrays with their gaps, else objects."""
+    return tree.assemble(_lines(spark, sf), levels=2).select("path", "value")
 
 
 @query()
@@ -249,7 +248,7 @@ def utf16_units(spark, sf):
     return table(spark, sf, "documents").filter("text <> ''").select("doc_id", utf16_length(F.col("text")).cast("bigint").alias("utf16"))
 
 
-_B64 = "-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
+_B64 = ids.ALPHABET  # fixed value
 
 
 @query("SELECT entry_id, CAST(list_sum(list_transform(range(1, 9), lambda i: (strpos('" + _B64 + "', substr(k, i, 1)) - 1) * CAST(pow(64, 8 - i) AS BIGINT))) AS BIGINT) AS ms FROM (SELECT entry_id, regexp_extract(path, '(?:^|/)(-[A-Za-z0-9_-]{19})(?:/|$)', 1) AS k FROM wal_entries) WHERE k <> ''")
@@ -266,11 +265,18 @@ def push_id_roundtrip(spark, sf):
     return e.select("event_id", ids.push_id_millis(ids.push_id(F.col("t"), F.col("event_id"))).alias("ms"))
 
 
-@query()
+@query("SELECT db, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(range(1, length(db) + 1), lambda i: CAST(unicode(substr(db, i, 1)) AS UBIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS BIGINT) AS fnv FROM (SELECT DISTINCT project_id || '/' || id AS db FROM project_databases)")
 def routing(spark, sf):
-    """Server and core of every database by its routing hashes."""
+    """The hash that picks the server of every database."""
+    d = table(spark, sf, "project_databases").select(F.concat_ws("/", "project_id", "id").alias("db")).distinct()
+    return d.select("db", ids.fnv1a32("db").alias("fnv"))
+
+
+@query()
+def core_routing(spark, sf):
+    """Core of every database by its routing hash."""
     d = table(spark, sf, "project_databases").select(F.concat_ws("/", "project_id", "id").alias("db")).distinct()
-    return d.select("db", ids.fnv1a32("db").alias("fnv"), ids.core_of(F.col("db"), 8).alias("core"))
+    return d.select("db", ids.core_of(F.col("db"), 8).alias("core"))
 
 
 @query("SELECT entry_id, rtrim(ltrim(path, '/'), '/') AS trimmed, '/' || rtrim(ltrim(path, '/'), '/') AS normalized, regexp_replace('/' || rtrim(ltrim(path, '/'), '/'), '^.*/', '') AS last FROM wal_entries WHERE rtrim(ltrim(path, '/'), '/') <> ''")
@@ -279,14 +285,8 @@ def path_functions(spark, sf):
     return w.select("entry_id", F.col("p").alias("trimmed"), model.normalized(F.col("path")).alias("normalized"), model.last_segment(F.col("path")).alias("last"))
 
 
-@query("SELECT doc_id, octet_length(encode(left(text, 12))) <= 768 AND NOT regexp_matches(left(text, 12), '[$#\\[\\]/\\x00-\\x1f\\x7f]') AND strpos(substr(left(text, 12), 2), '.') = 0 AND left(text, 12) <> '' AS valid FROM documents WHERE text IS NOT NULL")
-def key_validation(spark, sf):
-    """Whether the first characters of a text could be a key."""
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", model.valid_key(F.substring("text", 1, 12)).alias("valid"))
-
-
 @query("SELECT doc_id, octet_length(encode(text)) <= 768 AND NOT regexp_matches(text, '[$#\\[\\]/\\x00-\\x1f\\x7f]') AND strpos(substr(text, 2), '.') = 0 AND text <> '' AS valid FROM documents WHERE text IS NOT NULL")
-def key_validation_whole(spark, sf):
+def key_validation(spark, sf):
     """Whether a whole text could be a key."""
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", model.valid_key(F.col("text")).alias("valid"))
 
@@ -359,7 +359,7 @@ def state_at_with_deletes(spark, sf):
         F.lit("p").alias("project_id"), F.lit("d").alias("database_id"), F.col("event_id").alias("sequence"), F.lit(1).alias("line_no"), F.when(F.col("event_type") == "error", "d").otherwise("s").alias("op"), F.concat(F.lit("/"), "user_id").alias("path"), F.col("value").cast("string").alias("value")
     )
     s = changefeed.state_at(e)
-    return s.select(F.substring("path", 2, 100).alias("path"), F.col("value").cast("double").alias("value"))
+    return s.select(F.expr("substring(path, 2)").alias("path"), F.col("value").cast("double").alias("value"))
 
 
 @query()
@@ -385,6 +385,16 @@ def live_view_events(spark, sf):
     return views.run_available(views.live_views(stream, {"top": TreeQuery().order_by_value().limit_to_last(3)}), at)
 
 
+@query("WITH l AS (SELECT c_nationkey, o_custkey, arg_max(o_totalprice, o_orderkey) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY v DESC, o_custkey DESC) AS k FROM l) SELECT '/n/' || c_nationkey AS view_path, CAST(o_custkey AS VARCHAR) AS key, v AS value FROM r WHERE k <= 3")
+def live_view_windows(spark, sf):
+    """The top-3 windows that a client holds after all events of the live views."""
+    e = live_view_events(spark, sf)
+    one = F.create_map(F.expr("substring(rel_path, 2)"), F.nullif("data", F.lit("null")))
+    said = e.select("view_path", "seq", "ord", F.explode(F.when(F.col("rel_path") == "/", F.from_json("data", "map<string,string>")).otherwise(one)).alias("key", "value"))
+    now = said.groupBy("view_path", "key").agg(F.max_by(F.struct("value"), F.struct("seq", "ord")).alias("now"))
+    return now.select("view_path", "key", F.col("now.value").cast("double").alias("value")).filter("value is not null")
+
+
 @query("SELECT e.event_id, MIN(s.event_id) AS fired FROM events e JOIN events s ON s.user_id = e.user_id AND s.event_type = 'signup' AND s.event_id > e.event_id WHERE e.event_type = 'click' GROUP BY 1")
 def on_disconnect_fire(spark, sf):
     """Clicks register deferred writes; the user's next sign-up stands for the disconnect that fires them."""
@@ -420,27 +430,31 @@ def compaction(spark, sf):
     return wal.compact(spark, changefeed.state_at(feed, 20), feed.filter("sequence > 20")).select("project_id", "database_id", "path", "value")
 
 
-@query("SELECT project_id, database_id, lo + 1 AS missing_from, sequence - 1 AS missing_to FROM (SELECT project_id, database_id, sequence, LAG(sequence) OVER (PARTITION BY project_id, database_id ORDER BY sequence) AS lo FROM (SELECT DISTINCT project_id, database_id, sequence FROM wal_entries)) WHERE sequence > lo + 1")
+@query("SELECT project_id, database_id, lo + 1 AS missing_from, sequence - 1 AS missing_to FROM (SELECT project_id, database_id, sequence, LAG(sequence) OVER (PARTITION BY project_id, database_id ORDER BY sequence) AS lo FROM (SELECT DISTINCT project_id, database_id, sequence FROM wal_entries WHERE op = 'd')) WHERE sequence > lo + 1")
 def log_gaps(spark, sf):
-    """Missing log files between those that are there, per database."""
+    """Log files without a delete between those that hold one, per database."""
     from canopy.sources import wal
 
-    return wal.gaps(table(spark, sf, "wal_entries"), keys=("project_id", "database_id"))
+    return wal.gaps(table(spark, sf, "wal_entries").filter("op = 'd'"), keys=("project_id", "database_id"))
 
 
-@query()
+_BUCKET = "LEAST(536870912, {tokens} + ({t} - {last}) // 15 * 67108864)"
+_FIRST, _NEXT = "536870912", _BUCKET.format(tokens="s.tokens", t="w.t", last="s.last")
+
+
+@query(f"WITH RECURSIVE w AS (SELECT entry_id, project_id || '/' || database_id AS db, CAST(epoch(received_at) AS BIGINT) AS t, COALESCE(octet_length(encode(value)), 0)::BIGINT * 1048576 AS n, ROW_NUMBER() OVER (PARTITION BY project_id, database_id ORDER BY CAST(epoch(received_at) AS BIGINT), entry_id) AS k FROM wal_entries), s AS (SELECT db, k, entry_id, n <= {_FIRST} AS allowed, CASE WHEN n <= {_FIRST} THEN {_FIRST} - n ELSE {_FIRST} END AS tokens, t AS last FROM w WHERE k = 1 UNION ALL SELECT w.db, w.k, w.entry_id, w.n <= {_NEXT}, {_NEXT} - CASE WHEN w.n <= {_NEXT} THEN w.n ELSE 0 END, s.last + (w.t - s.last) // 15 * 15 FROM s JOIN w ON w.db = s.db AND w.k = s.k + 1) SELECT entry_id, allowed FROM s")
 def rate_limit(spark, sf):
     """Writes of each database against the token bucket, by the bytes of their values scaled up."""
     w = table(spark, sf, "wal_entries").select("entry_id", F.concat_ws("/", "project_id", "database_id").alias("db"), epoch_seconds(F.col("received_at")).alias("t"), (F.coalesce(F.octet_length("value"), F.lit(0)).cast("bigint") * (1 << 20)).alias("bytes"))
-    return mutations.rate_limited(w, "db", "t", "bytes").select("entry_id", "allowed")
+    return mutations.rate_limited(w, "db", "t", "bytes", ("entry_id",)).select("entry_id", "allowed")
 
 
-@query("SELECT COUNT(*) AS children FROM part WHERE p_size = 7")
+@query("SELECT sha256('{' || string_agg('\"k' || p_partkey || '\":{\"p_name\":\"' || p_name || '\",\"p_size\":7}', ',' ORDER BY 'k' || p_partkey) || '}') AS hash FROM part WHERE p_size = 7")
 def query_result(spark, sf):
-    """The children that survive a query as one JSON object; here its number of keys."""
+    """The children that survive a query as one JSON object, compared by its canonical text's hash."""
     p = table(spark, sf, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("key"), F.to_json(F.struct("p_size", "p_name")).alias("value"))
     one = TreeQuery().order_by_child("p_size").equal_to(7).result(p)
-    return one.select(F.size(F.json_object_keys("value")).cast("bigint").alias("children"))
+    return one.select(tree.native_hash("value").alias("hash"))
 
 
 # rules --------------------------------------------------------------------------------
@@ -479,20 +493,150 @@ _rule_fn("rule_matches", "auth.token.t.matches(/[0-9]{5}/)", "regexp_matches(tex
 _rule_fn("rule_replace_case", "auth.token.t.replace('e', '').toUpperCase().contains('TST')", "contains(upper(replace(text, 'e', '')), 'TST')")
 _rule_fn("rule_compare", "auth.token.t > 'M' && auth.token.t != null", "text > 'M'")
 
-# metrics ------------------------------------------------------------------------------
+# writes in order, and what views and rules make of them -----------------------------------
 
-_ROLLUP = ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in metrics.COUNTERS)
+@query(SQL["increment_chain"])
+def payload_increments(spark, sf):
+    """A counter per user by increments inside the payloads of updates; sign-ups set it to 0."""
+    n = F.coalesce(F.floor("value"), F.lit(0)).cast("string")
+    value = F.when(F.col("event_type") == "signup", '{"n":0}').otherwise(F.concat(F.lit('{"n":{".sv":{"increment":'), n, F.lit("}}}")))
+    w = table(spark, sf, "events").select(F.lit("d").alias("db"), F.col("event_id").alias("seq"), F.lit("u").alias("op"), F.concat(F.lit("/u/"), "user_id").alias("path"), value.alias("value"))
+    empty = spark.createDataFrame([], "db string, path string, value string")
+    r = mutations.resolve_increments(w, empty)
+    return r.select(F.col("seq").alias("event_id"), F.get_json_object("value", "$.n").cast("bigint").alias("result"))
 
 
-@query(f"SELECT ts, project_id, {_ROLLUP}, ROUND(COALESCE(AVG(NULLIF(p50_latency_us, 0)), 0), 6) AS p50_latency_us, ROUND(COALESCE(AVG(NULLIF(p99_latency_us, 0)), 0), 6) AS p99_latency_us FROM database_metrics WHERE data_size_bytes IS NOT NULL GROUP BY ts, project_id")
-def metrics_rollup(spark, sf):
-    """Database rows rolled up to (time, project)."""
-    r = metrics.project_rollup(table(spark, sf, "database_metrics").filter("data_size_bytes is not null"))
-    return r.select("ts", "project_id", *[F.col(c).cast("bigint").alias(c) for c in metrics.COUNTERS], F.round("p50_latency_us", 6).alias("p50_latency_us"), F.round("p99_latency_us", 6).alias("p99_latency_us"))
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN p IS NULL OR p = 'purchase' WHEN 'purchase' THEN COALESCE(p = 'click', false) ELSE true END AS committed FROM (SELECT *, LAG(CASE WHEN event_type IN ('click', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)")
+def transaction_chain(spark, sf):
+    """A lock per user: clicks take it if it is free, purchases give it back if it is held, each after the ones before."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("tx_id"), F.concat(F.lit("d"), "user_id").alias("db"), F.col("event_id").alias("tx_seq"), "event_type")
+    step = lambda seq, op, path, value: F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(path).alias("path"), F.lit(value).cast("string").alias("value"))
+    steps = F.when(F.col("event_type") == "click", F.array(step(1, "c", "/lock/by", None), step(2, "s", "/lock", '{"by":1}'))).when(F.col("event_type") == "purchase", F.array(step(1, "c", "/lock", '{"by":1.0}'), step(2, "u", "/", '{"lock/by":null}'))).otherwise(F.array(step(1, "s", "/seen", "true")))
+    ops = e.select("tx_id", "db", "tx_seq", F.inline(steps)).withColumn("hash", F.lit(None).cast("string"))
+    empty = spark.createDataFrame([], "db string, path string, value string")
+    return mutations.transactions_in_order(ops, empty).select(F.col("tx_id").alias("event_id"), "committed")
+
+
+@query("SELECT client, seq, idx, path FROM (SELECT user_id AS client, fired AS seq, CAST(event_id AS VARCHAR) AS path, ROW_NUMBER() OVER (PARTITION BY user_id, fired ORDER BY event_id) AS idx FROM (SELECT *, MIN(CASE WHEN event_type = 'signup' AND user_id % 5 = 0 OR event_id % 1000 = 999 THEN event_id END) OVER (PARTITION BY user_id % 2 ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fired FROM (SELECT event_id, event_type, user_id % 2 AS user_id FROM events)) WHERE event_type <> 'signup' AND event_id % 1000 <> 999 AND fired IS NOT NULL) WHERE idx <= 100")
+def on_disconnect_caps(spark, sf):
+    """Two clients that register more than they may hold: a hundred fire, the rest is refused."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 2).alias("client"), F.col("event_id").alias("seq"), "event_type")
+    gone = (F.col("seq") % 1000 == 999) | ((F.col("event_type") == "signup") & (F.col("client") % 5 == 0))
+    reg = e.filter(~gone & (F.col("event_type") != "signup")).select("client", "seq", F.lit("s").alias("op"), F.col("seq").cast("string").alias("path"), F.lit("1").alias("value"))
+    fired = mutations.on_disconnect(reg, e.filter(gone).select("client", "seq", F.lit(0).alias("ts_ms")))
+    return fired.select("client", "seq", F.col("idx").cast("bigint").alias("idx"), "path")
+
+
+_SEEN = "(SELECT o_orderkey AS seq, o_orderstatus AS st, c_nationkey AS n, o_custkey AS c, CAST(o_totalprice AS VARCHAR) AS p, m FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT c_nationkey AS mn, MIN(c_custkey) AS m FROM customer GROUP BY 1) ON mn = c_nationkey)"
+
+
+@query(f"""SELECT seq, 'n/' || n AS view_path, CASE st WHEN 'O' THEN 'patch' ELSE 'put' END AS ev, CASE st WHEN 'O' THEN '/' ELSE '/' || c END AS rel_path, CASE st WHEN 'F' THEN '{{"p":' || p || '}}' WHEN 'O' THEN '{{"' || c || '/p":' || p || '}}' ELSE 'null' END AS data FROM {_SEEN}
+UNION ALL SELECT seq, 'n/' || n || '/' || m, CASE st WHEN 'O' THEN 'patch' ELSE 'put' END, '/', CASE st WHEN 'P' THEN 'null' ELSE '{{"p":' || p || '}}' END FROM {_SEEN} WHERE c = m""")
+def simple_view_events(spark, sf):
+    """Sets, updates and deletes as views of a nation and of its first customer see them: at, below and above."""
+    c = table(spark, sf, "customer")
+    j = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    price, nation = F.col("o_totalprice").cast("string"), F.concat(F.lit("/n/"), F.col("c_nationkey").cast("string"))
+    own = F.concat(nation, F.lit("/"), F.col("o_custkey").cast("string"))
+    st = F.col("o_orderstatus")
+    value = F.when(st == "F", F.concat(F.lit('{"p":'), price, F.lit("}"))).when(st == "O", F.concat(F.lit('{"'), F.col("o_custkey").cast("string"), F.lit('/p":'), price, F.lit("}")))
+    op = F.when(st == "F", "s").when(st == "O", "u").otherwise("d")
+    m = j.select(F.lit("d").alias("db"), F.col("o_orderkey").alias("seq"), op.alias("op"), F.when(st == "O", nation).otherwise(own).alias("path"), value.alias("value"))
+    firsts = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c")).select(F.lit("d").alias("db"), F.concat(F.lit("/n/"), F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c").cast("string")).alias("view_path"))
+    views_ = firsts.unionByName(c.select(F.lit("d").alias("db"), F.concat(F.lit("/n/"), F.col("c_nationkey").cast("string")).alias("view_path")).distinct())
+    return mutations.view_events(mutations.match_views(m, views_)).select("seq", F.col("v_path").alias("view_path"), "ev", "rel_path", "data")
+
+
+_ORDER_RULES = {"rules": {"orders": {"$o": {".write": "!data.exists() || newData.child('total').val() >= data.child('total').val()", ".validate": "newData.hasChildren(['total','status'])", "status": {".validate": "newData.isString() && newData.val().length === 1"}}}}}
+
+
+def _order_tree(o):
+    base = F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"))
+    quoted = F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))
+    return o.select(F.lit("d").alias("db"), F.inline(F.array(F.struct(F.concat(base, F.lit("/total")).alias("path"), F.col("o_totalprice").cast("string").alias("value")), F.struct(F.concat(base, F.lit("/status")).alias("path"), quoted.alias("value")))))
+
+
+def _order_writes(o, op, value):
+    auth = F.lit(None).cast("struct<uid: string, provider: string, token: map<string,string>>")
+    return o.select(F.col("o_orderkey").alias("id"), F.lit("d").alias("db"), F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string")).alias("path"), auth.alias("auth"), F.lit(0.0).alias("now"), F.lit(op).alias("op"), value.alias("value"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey % 3 > 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AS allowed FROM orders")
+def rules_write_set(spark, sf):
+    """Orders replaced: totals may not fall, total and status must be there, a status has one letter."""
+    o = table(spark, sf, "orders")
+    total = (F.col("o_totalprice") + (F.col("o_custkey") % 3 - 1)).cast("string")
+    status = F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.concat(F.lit(',"status":"'), F.when(F.col("o_orderkey") % 5 == 0, "XX").otherwise(F.col("o_orderstatus")), F.lit('"')))
+    w = _order_writes(o, "s", F.concat(F.lit('{"total":'), total, status, F.lit("}")))
+    return can_write(w, _order_tree(o), Rules(_ORDER_RULES)).select("id", "allowed")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN false WHEN o_orderkey % 5 = 0 THEN false ELSE o_custkey % 3 > 0 END AS allowed FROM orders")
+def rules_write_update(spark, sf):
+    """Orders updated: what the update leaves alone counts as it is stored; a status taken away or too long is refused."""
+    o = table(spark, sf, "orders")
+    total = (F.col("o_totalprice") + (F.col("o_custkey") % 3 - 1)).cast("string")
+    more = F.when(F.col("o_orderkey") % 7 == 0, ',"status":null').when(F.col("o_orderkey") % 5 == 0, ',"status":"XX"').otherwise("")
+    w = _order_writes(o, "u", F.concat(F.lit('{"total":'), total, more, F.lit("}")))
+    return can_write(w, _order_tree(o), Rules(_ORDER_RULES)).select("id", "allowed")
+
+
+@query("SELECT p_partkey AS id, p_size < 40 AND p_partkey % 4 <> 0 AS allowed FROM part")
+def rules_update_keys(spark, sf):
+    """Updates denied as a whole, whose keys are judged one by one."""
+    rules = Rules({"rules": {"part": {"$p": {"size": {".write": "newData.val() < 40"}, "name": {".write": True}}}}})
+    more = F.when(F.col("p_partkey") % 4 == 0, ',"other":1').otherwise("")
+    value = F.concat(F.lit('{"name":"x","size":'), F.col("p_size").cast("string"), more, F.lit("}"))
+    auth = F.lit(None).cast("struct<uid: string, provider: string, token: map<string,string>>")
+    w = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lit("d").alias("db"), F.concat(F.lit("/part/"), F.col("p_partkey").cast("string")).alias("path"), auth.alias("auth"), F.lit(0.0).alias("now"), F.lit("u").alias("op"), value.alias("value"))
+    return can_write(w, spark.createDataFrame([], "db string, path string, value string"), rules).select("id", "allowed")
+
+
+@query("SELECT event_id // 2000 AS sequence, CASE event_type WHEN 'error' THEN 'd' ELSE 's' END AS op, '/e/' || event_id AS path, CASE WHEN event_type <> 'error' THEN COALESCE(CAST(json(props) AS VARCHAR), 'null') END AS value FROM events")
+def wal_roundtrip(spark, sf):
+    """Events appended as log files and read back."""
+    from canopy.sources import wal
+
+    at = run_dir(spark, "log")
+    e = table(spark, sf, "events")
+    op = F.when(F.col("event_type") == "error", "d").otherwise("s")
+    wal.append_log(e.select(F.expr("event_id div 2000").alias("sequence"), (F.col("event_id") % 2000 + 1).cast("int").alias("line_no"), op.alias("op"), F.concat(F.lit("/e/"), F.col("event_id").cast("string")).alias("path"), F.col("props").alias("value")), at)
+    return wal.read_log(spark, at).select("sequence", "op", "path", "value")
+
+
+@query("SELECT event_id, '{' || chr(10) || '  \"k\": ' || CAST(json_extract(props, '$.k') AS VARCHAR) || chr(10) || '}' AS text FROM events WHERE props IS NOT NULL")
+def rest_pretty(spark, sf):
+    """JSON answers over several lines."""
+    return table(spark, sf, "events").filter("props is not null").select("event_id", rest.formatted(F.col("props"), "pretty").alias("text"))
+
+
+@query("WITH s AS (SELECT project_id, database_id, ts, id, CAST(epoch(ts) AS BIGINT) // 86400 * 86400 AS window_s, writes, ccu, p50_latency_us FROM database_metrics), g AS (SELECT project_id, database_id, window_s, CAST(SUM(COALESCE(writes, 0)) AS BIGINT) AS writes, arg_max_null(ccu, (ts, id)) AS last_ccu, MAX(ccu) AS top, CAST(FLOOR(SUM(p50_latency_us) / COUNT(p50_latency_us)) AS BIGINT) AS p50 FROM s GROUP BY 1, 2, 3), p AS (SELECT *, GREATEST(top, LAG(last_ccu) OVER (PARTITION BY project_id, database_id ORDER BY window_s)) AS peak_ccu FROM g) SELECT project_id, database_id, window_s, writes, last_ccu, p50, peak_ccu, CAST(0 AS BIGINT) AS p99 FROM p WHERE writes > 0")
+def flush_rows(spark, sf):
+    """A day's flush row per database: sums, last gauge, mean latency, and a peak that starts from the gauge before."""
+    m = table(spark, sf, "database_metrics").select("project_id", "database_id", F.struct("ts", "id").alias("at"), "ts", "writes", "ccu", "p50_latency_us")
+    return metrics.flush_rows(m, ["project_id", "database_id"], "ts", 86_400, ["writes"], [], "ccu", "p50_latency_us", order="at")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS path, arg_max(value, event_id) AS value FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
+def compaction_of_flat_log(spark, sf):
+    """Events as a log: a snapshot of the first half with the rest applied on top."""
+    from canopy.operators import changefeed
+    from canopy.sources import wal
+
+    e = table(spark, sf, "events").select(F.lit("p").alias("project_id"), F.lit("d").alias("database_id"), F.col("event_id").alias("sequence"), F.lit(1).alias("line_no"), F.when(F.col("event_type") == "error", "d").otherwise("s").alias("op"), F.concat(F.lit("/"), "user_id").alias("path"), F.col("value").cast("string").alias("value"))
+    half = e.agg((F.max("sequence") / 2).cast("bigint")).first()[0] or 0
+    at = wal.write_snapshot(changefeed.state_at(e, half), run_dir(spark, "snapshots"), half)
+    done = wal.compact(spark, spark.read.parquet(at), e.filter(F.col("sequence") > half))
+    return done.select(F.expr("substring(path, 2)").alias("path"), F.col("value").cast("double").alias("value"))
+
+
+# metrics ------------------------------------------------------------------------------
+
+_ROLLUP = ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in metrics.COUNTERS)
 
 
 @query(f"SELECT ts, project_id, {_ROLLUP}, ROUND(COALESCE(AVG(NULLIF(p50_latency_us, 0)), 0), 6) AS p50_latency_us, ROUND(COALESCE(AVG(NULLIF(p99_latency_us, 0)), 0), 6) AS p99_latency_us FROM database_metrics GROUP BY ts, project_id")
-def metrics_rollup_whole(spark, sf):
+def metrics_rollup(spark, sf):
     """All database rows rolled up to (time, project), those without a data size too."""
     r = metrics.project_rollup(table(spark, sf, "database_metrics"))
     return r.select("ts", "project_id", *[F.col(c).cast("bigint").alias(c) for c in metrics.COUNTERS], F.round("p50_latency_us", 6).alias("p50_latency_us"), F.round("p99_latency_us", 6).alias("p99_latency_us"))
@@ -508,15 +652,8 @@ def metrics_summary(spark, sf):
     return s.select("project_id", "peak_ccu", *[F.col(c).cast("bigint").alias(c) for c in s.columns if c.startswith("total_")], "avg_latency_us")
 
 
-@query("SELECT project_id, CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS window_s, CAST(SUM(COALESCE(writes, 0)) AS BIGINT) AS writes, arg_max_null(data_size_bytes, ts) AS last_data_size_bytes, MAX(ccu) AS max_ccu FROM (SELECT project_id, ts, MAX(writes) AS writes, MAX(data_size_bytes) AS data_size_bytes, MAX(ccu) AS ccu FROM database_metrics GROUP BY 1, 2) GROUP BY 1, 2 HAVING SUM(COALESCE(writes, 0)) > 0")
-def window_accumulate(spark, sf):
-    """Six-hour windows per project: sums, last gauge, peak; idle windows left out."""
-    m = table(spark, sf, "database_metrics").groupBy("project_id", "ts").agg(F.max("writes").alias("writes"), F.max("data_size_bytes").alias("data_size_bytes"), F.max("ccu").alias("ccu"))
-    return metrics.accumulate(m, ["project_id"], "ts", 21_600, ["writes"], ["data_size_bytes"], ["ccu"])
-
-
 @query("SELECT project_id, CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS window_s, CAST(SUM(COALESCE(writes, 0)) AS BIGINT) AS writes, arg_max_null(data_size_bytes, (ts, database_id)) AS last_data_size_bytes, MAX(ccu) AS max_ccu FROM (SELECT project_id, database_id, ts, arg_max_null(writes, id) AS writes, arg_max_null(data_size_bytes, id) AS data_size_bytes, arg_max_null(ccu, id) AS ccu FROM database_metrics GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING SUM(COALESCE(writes, 0)) > 0")
-def window_accumulate_whole(spark, sf):
+def window_accumulate(spark, sf):
     """Six-hour windows per project over all its databases; of rows sent again the newest, of gauges at one time the last database's."""
     values = ["writes", "data_size_bytes", "ccu"]
     m = rolling.newest_rows(table(spark, sf, "database_metrics"), ["project_id", "database_id", "ts"], "id", values)
@@ -542,10 +679,10 @@ def anomaly_latency(spark, sf):
     return a.select("id", "project_avg")
 
 
-@query()
+@query("WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), c AS (SELECT user_id, event_type, MIN(t) AS t FROM e GROUP BY 1, 2 UNION ALL SELECT e.user_id, e.event_type, MIN(e.t) AS t FROM c JOIN e ON e.user_id = c.user_id AND e.event_type = c.event_type AND e.t >= c.t + 86400 GROUP BY 1, 2) SELECT user_id, event_type, t FROM c")
 def event_cooldown(spark, sf):
-    """Events of a user and type at least a day apart."""
-    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", epoch_seconds(F.col("ts")).alias("t"))
+    """Times at least a day apart at which a user's events of a type count."""
+    e = table(spark, sf, "events").select("user_id", "event_type", epoch_seconds(F.col("ts")).alias("t"))
     return metrics.with_cooldown(e, ["user_id", "event_type"], "t", 86_400)
 
 
@@ -579,9 +716,9 @@ def healthy_servers(spark, sf):
     return _healthy(spark, sf).select("id", "hostname", "last_heartbeat")
 
 
-@query(f"SELECT id FROM {_SERVERS} WHERE status = 'active' AND last_heartbeat <= {_NOW} - 40000")
+@query(f"SELECT id FROM {_SERVERS} WHERE status = 'active' AND last_heartbeat <= {_NOW} - 3000")
 def unhealthy_servers(spark, sf):
-    return control.unhealthy(_servers(spark, sf), F.lit(_NOW), 40_000).select("id")
+    return control.unhealthy(_servers(spark, sf), F.lit(_NOW), 3_000).select("id")
 
 
 @query(f"SELECT id, database_count FROM {_HEALTHY} ORDER BY database_count, id LIMIT 1")
@@ -605,14 +742,8 @@ def connect_left_join(spark, sf):
     return out.select("project_id", "name", "config_version", "database_id", "database_status", "hostname", "ip_address")
 
 
-@query("SELECT event_id, ts, event_type FROM events WHERE user_id % 3 = 1 ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100")
-def events_page(spark, sf):
-    e = table(spark, sf, "events").filter("user_id % 3 = 1")
-    return control.page(e, F.desc("ts"), "event_id", offset=100).select("event_id", "ts", "event_type")
-
-
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100")
-def events_page_whole(spark, sf):
+def events_page(spark, sf):
     """A page over all events."""
     return control.page(table(spark, sf, "events"), F.desc("ts"), "event_id", offset=100).select("event_id", "ts", "event_type")
 

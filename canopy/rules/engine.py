@@ -206,7 +206,7 @@ def _update_keys(value: pd.Series) -> pd.Series:
 
 def can_write(requests: DataFrame, leaf: DataFrame, rules: Rules | None, volatile: bool = False) -> DataFrame:
     """``requests`` (with op and value) with ``allowed``: a .write grants on the way, and every .validate
-    on the path and on each node written below it passes. Deletes skip .validate. An UPDATE that
+    on the path and on each node written below it passes. Deletes (and SETs of null) skip .validate. An UPDATE that
     is denied as a whole is allowed if each of its keys is, as a SET of its own."""
     if rules is None or not rules.rules:
         return requests.withColumn("allowed", F.lit(True))
@@ -227,8 +227,11 @@ def _can_write(writes: DataFrame, leaf: DataFrame, rules: Rules, volatile: bool)
     key = ["id", "__k"]
     answered, verdict = _decide(writes.withColumn("w_path", F.col("path")), leaf, rules, "write", None, volatile, key)
     granted = answered.select(*key, verdict.alias("__w"))
-    put = writes.filter((F.col("op") != "d") & F.col("value").isNotNull() & (F.trim("value") != "null")).withColumn("w_path", F.col("path"))
-    below = flatten_json(put, key, "value").select(*key, F.explode(model.prefixes(F.col("path"))).alias("rel")).distinct()
+    # a key of an update is validated even if it takes something away
+    something = F.col("value").isNotNull() & (F.trim("value") != "null")
+    put = writes.filter((F.col("op") != "d") & (something | (F.col("__k") >= 0))).withColumn("w_path", F.col("path"))
+    below = flatten_json(put, key, "value").select(*key, F.explode(model.prefixes(F.col("path"))).alias("rel"))
+    below = below.unionByName(put.select(*key, F.lit("").alias("rel"))).distinct()
     at = put.join(below, key).withColumn("path", model.joined(F.col("w_path"), F.col("rel"))).drop("rel")
     up = put.withColumn("path", F.explode(model.prefixes(F.col("w_path"), strict=True)))
     rows = at.unionByName(up)
