@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators import changefeed, nested, orphans, rolling, spikes
-from canopy.session import epoch_seconds, table, written
+from canopy.session import epoch_seconds, run_dir, table, written
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,13 +25,14 @@ def p1_leaves_per_database(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _objects(spark: SparkSession, sf: str) -> DataFrame:
+    """All objects, routed to their subtypes."""
     wal = nested.flatten_objects(table(spark, sf, "wal_entries"), "wal_entries", "entry_id", "value")
     auth = nested.flatten_objects(table(spark, sf, "auth_payloads"), "auth_payloads", "payload_id", "claims")
-    return wal.unionByName(auth)
+    return nested.route(wal.unionByName(auth), run_dir(spark, "objects"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects that are elements of arrays, linked to the object around them."""
+    """Objects that are elements of arrays, linked to the object around them, out of the routed subtype tables."""
     return nested.array_children(_objects(spark, sf))
 
 
@@ -41,6 +42,19 @@ def p2_variants(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("table_name", "position", "variant", F.to_json("fields").alias("fields"), "objects")
 
 
+def p2_subtypes(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue by what keys are, fields or data, as the objects that hold them say."""
+    v = nested.subtypes(_objects(spark, sf))
+    return v.select("table_name", "position", "subtype", F.to_json("fields").alias("fields"), "objects")
+
+
+def p2_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """Round trip of the links: objects of each position by the position of the parent they join to; orphans would show."""
+    j = nested.with_parents(_objects(spark, sf))
+    lost = F.sum((F.col("parent_path").isNotNull() & F.col("parent_position").isNull() & (F.col("position").substr(1, 2) != "$[")).cast("int"))
+    return j.groupBy("table_name", "position", "parent_position").agg(F.count("*").alias("objects"), lost.alias("orphans"))
+
+
 def p2_supertypes(spark: SparkSession, sf: str) -> DataFrame:
     """Keys shared by all variants of a position."""
     s = nested.supertypes(_objects(spark, sf))
@@ -145,7 +159,7 @@ x AS (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_leaves_per_database, p2_found, p2_variants, p2_supertypes, p3_found, p3_totals, p4_found, p4_report, p5_found, p5_cases]
+    own = [p1_found, p1_leaves_per_database, p2_found, p2_variants, p2_subtypes, p2_parents, p2_supertypes, p3_found, p3_totals, p4_found, p4_report, p5_found, p5_cases]
     return {f.__name__: f for f in own}
 
 

@@ -68,3 +68,31 @@ def test_variants_supertypes_and_typed_tables(spark, tmp_path):
     nested.route(o, str(tmp_path / "routed"))
     back = spark.read.parquet(str(tmp_path / "routed"))
     assert back.count() == o.count() and back.filter("in_array").count() == 3
+
+
+def test_keys_are_fields_or_data_by_who_holds_them(spark):
+    texts = [json.dumps({"address1": "x", **({"address2": "y"} if i % 3 else {}), f"u{i}": 1}) for i in range(300)]
+    texts += [json.dumps({"people": {name: {"n": 1}}}) for name in ("".join(chr(97 + (i // 26**j) % 26) for j in range(3)) for i in range(400))]
+    o = nested.flatten_objects(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA), "t", "id", "value").cache()
+    shape = {(r.position, r.key): r.field for r in nested.key_shapes(o).collect()}
+    assert shape[("$", "address1")] and shape[("$", "address2")] and shape[("$", "people")] and not shape[("$", "u7")] and not shape[("$.people", "baa")]
+    got = {(r.position, tuple((f.key, f.kind) for f in r.fields)): r.objects for r in nested.subtypes(o).filter("position in ('$', '$.people')").collect()}
+    assert got == {
+        ("$", (("*", "bigint|string"), ("address1", "string"))): 100,
+        ("$", (("*", "bigint|string"), ("address1", "string"), ("address2", "string"))): 200,
+        ("$", (("people", "object"),)): 400,
+        ("$.people", (("*", "any"),)): 400,
+    }
+
+
+def test_children_join_their_parents_in_the_routed_table(spark, tmp_path):
+    rng = random.Random(6)
+    texts = [json.dumps(value(rng)) for _ in range(200)] + ['{"a":' * 2000 + "[{}]" + "}" * 2000]
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    routed = nested.route(nested.flatten_objects(df, "t", "id", "value"), str(tmp_path / "r"))
+    j = nested.with_parents(routed)
+    assert j.count() == routed.count() and j.filter("parent_path is null").count() > 0
+    # every parent is there, but for the root where it is an array
+    lost = j.filter("parent_path is not null and parent_position is null").select("row_id", "parent_path").collect()
+    assert all(r.parent_path == "" and texts[r.row_id][0] == "[" for r in lost)
+    assert routed.filter("position = '$'").select("variant").distinct().count() == nested.variants(routed).filter("position = '$'").count()
