@@ -74,6 +74,14 @@ def evict(databases: DataFrame, evictions: DataFrame) -> DataFrame:
     return j.select(*[out[c].alias(c) if c in out else F.col(c) for c in databases.columns])
 
 
+def sweep(databases: DataFrame, servers: DataFrame, now_s: Column, timeout_s: int) -> DataFrame:
+    """Databases without the servers whose heartbeat is older than the timeout: no server, inactive."""
+    gone = unhealthy(servers, now_s, timeout_s).select(F.col("id").alias("server_id")).distinct().withColumn("__gone", F.lit(True))
+    j = databases.join(gone, "server_id", "left")
+    out = {"server_id": F.when(F.col("__gone").isNull(), F.col("server_id")), "status": F.when(F.col("__gone").isNull(), F.col("status")).otherwise("inactive")}
+    return j.select(*[out[c].alias(c) if c in out else F.col(c) for c in databases.columns])
+
+
 def release(servers: DataFrame, released: DataFrame) -> DataFrame:
     """Database counts less what was released, never below 0."""
     r = released.groupBy("id").agg(F.count("*").alias("__n"))

@@ -8,6 +8,7 @@ deciding columns are null as the docstrings say; empty inputs give empty outputs
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,10 @@ from canopy import model
 from canopy.functions.jsontext import INVALID, children, dump, fold, has_leaf, leaves, parse
 from canopy.operators import tree
 
+#: Requests that a connection remembers.
+REMEMBERED = 500
+#: Copies of a view that the mutations below it are spread over.
+SALTS = 16
 TX_OPS, ON_DISCONNECT_ACTIONS, ON_DISCONNECT_BYTES, DB_BYTES = 1000, 100, 1 << 20, 1 << 40
 WRITE_BYTES = 16 << 20
 BURST_BYTES, REFILL_BYTES, REFILL_SECONDS = 512 << 20, 64 << 20, 15
@@ -38,6 +43,35 @@ def dedup(writes: DataFrame, keys: tuple[str, ...] = ("client", "request_id")) -
     return firsts.unionByName(writes.filter(~F.coalesce(known, F.lit(False))))
 
 
+def dedup_recent(writes: DataFrame, remembered: int = REMEMBERED) -> DataFrame:
+    """Writes whose (client, request_id) is not among the client's last ``remembered`` ones, in order of seq.
+
+    What a connection with a bounded memory of requests lets through: a repeat that comes late enough
+    is a write again. Rows without an id are all kept. The fold of a client is ordered; rows stream
+    through it, and only the remembered ids are kept.
+    """
+    names = writes.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        client, known = None, OrderedDict()
+        for b in batches:
+            keep = []
+            for c, i in zip(b.column(names.index("client")).to_pylist(), b.column(names.index("request_id")).to_pylist(), strict=True):
+                if c != client:
+                    client, known = c, OrderedDict()
+                fresh = c is None or i is None or i == "" or i not in known
+                if fresh and i:
+                    known[i] = None
+                    if len(known) > remembered:
+                        known.popitem(last=False)
+                keep.append(fresh)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return writes.repartition("client").sortWithinPartitions("client", "seq").mapInArrow(run, writes.schema)
+
+
 def untainted(writes: DataFrame, nacked: DataFrame, pending: str = "pending") -> DataFrame:
     """Writes whose list of pending requests holds no request of the client that was refused before."""
     ids = writes.filter(F.size(pending) > 0).select("client", "seq", F.explode(pending).alias("request_id"))
@@ -471,7 +505,10 @@ def match_views(mutations: DataFrame, views: DataFrame) -> DataFrame:
     """
     m = mutations.withColumn("m_path", model.trimmed(F.col("path"))).drop("path")
     v = views.withColumn("v_path", model.trimmed(F.col("view_path"))).drop("view_path")
-    at_or_below = m.withColumn("v_path", F.explode(model.prefixes(F.col("m_path")))).join(v, ["db", "v_path"])
+    # a view of a root meets all mutations of its database: they are spread over copies of it
+    copies = v.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = m.withColumn("__salt", F.pmod(F.xxhash64("m_path"), F.lit(SALTS)).cast("int")).withColumn("v_path", F.explode(model.prefixes(F.col("m_path"))))
+    at_or_below = spread.join(copies, ["db", "v_path", "__salt"]).drop("__salt")
     above = v.withColumn("m_path", F.explode(model.prefixes(F.col("v_path"), strict=True))).join(m, ["db", "m_path"])
     relation = F.when(F.col("m_path") == F.col("v_path"), "at").when(model.is_ancestor(F.col("v_path"), F.col("m_path")), "below").otherwise("above")
     return at_or_below.unionByName(above).withColumn("relation", relation)

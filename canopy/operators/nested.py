@@ -226,12 +226,11 @@ def subtypes(objects: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     own = F.array_sort(F.filter(F.coalesce("data_keys", F.array().cast("array<struct<key:string,kind:string>>")), lambda d: F.array_contains(F.col("made"), d["key"])))
     told = objects.join(made, SHAPE, "left").select(*SHAPE, "variant", "fields", F.when(F.col("made").isNotNull(), own).alias("own"), (F.size("data_keys") > F.size(own)).alias("rest"))
     told = told.groupBy(*SHAPE, "variant", "own", "rest").agg(F.count("*").alias("objects"))
-    cat = told.join(variants(objects).select(*SHAPE, "variant", "fields"), [*SHAPE, "variant"])
-    parts = cat.select("*", F.monotonically_increasing_id().alias("i"))
-    named = parts.select(*SHAPE, "i", F.explode("fields").alias("f")).select(*SHAPE, "i", F.col("f.key").alias("key"), F.col("f.kind").alias("kind")).join(lost, [*SHAPE, "key"], "left")
-    kept = named.groupBy("i").agg(F.array_sort(F.collect_set(F.struct(F.when(F.col("lost"), "*").otherwise(F.col("key")).alias("key"), F.when(F.col("lost"), F.lit("any")).otherwise(F.col("kind")).alias("kind")))).alias("kept"))
-    whole = F.when(F.col("own").isNull(), F.col("kept")).otherwise(F.array_sort(F.concat(F.filter("kept", lambda f: (f["key"] != "*") | F.col("rest")), "own")))
-    out = parts.join(kept, "i", "left").select(*SHAPE, F.coalesce(whole, F.array().cast("array<struct<key:string,kind:string>>")).alias("fields"), "objects")
+    named = variants(objects).select(*SHAPE, "variant", F.explode("fields").alias("f")).select(*SHAPE, "variant", F.col("f.key").alias("key"), F.col("f.kind").alias("kind")).join(lost, [*SHAPE, "key"], "left")
+    kept = named.groupBy(*SHAPE, "variant").agg(F.array_sort(F.collect_set(F.struct(F.when(F.col("lost"), "*").otherwise(F.col("key")).alias("key"), F.when(F.col("lost"), F.lit("any")).otherwise(F.col("kind")).alias("kind")))).alias("kept"))
+    held = F.coalesce("kept", F.array().cast("array<struct<key:string,kind:string>>"))
+    whole = F.when(F.col("own").isNull(), held).otherwise(F.array_sort(F.concat(F.filter(held, lambda f: (f["key"] != "*") | F.col("rest")), "own")))
+    out = told.join(kept, [*SHAPE, "variant"], "left").select(*SHAPE, whole.alias("fields"), "objects")
     return out.groupBy(*SHAPE, "fields").agg(F.sum("objects").alias("objects")).select(*SHAPE, F.lower(F.hex(F.xxhash64(F.to_json("fields")))).alias("subtype"), "fields", "objects")
 
 

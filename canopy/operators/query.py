@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from canopy import model
 
-LIMIT_MAX = 10_000
+LIMIT_MAX, READ_BYTES = 10_000, 256 << 20
 
 
 @dataclass(frozen=True)
@@ -192,12 +192,16 @@ class TreeQuery:
     def result(self, children: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
         """One row: the surviving children as one JSON value by the array rule, null if there are none.
 
-        What one read returns is bounded (256 MiB), and a limit bounds it further.
+        What one read returns is bounded: more than ``READ_BYTES`` raises before anything is gathered.
         """
         from canopy.operators.tree import render_json
 
         kept = self.apply(children, key, value).filter(F.col(value).isNotNull())
         pair = F.concat(F.expr(f"substring(to_json(array(cast(`{key}` as string))), 2, length(to_json(array(cast(`{key}` as string)))) - 2)"), F.lit(":"), F.col(value))
+        whole = kept.agg(F.sum(F.octet_length(pair)).alias("__bytes"))  # one row
+        small = F.when(F.col("__bytes") > READ_BYTES, F.raise_error(F.lit(f"a read of more than {READ_BYTES} bytes"))).otherwise(pair)
+        pair = F.col("__pair")
+        kept = kept.crossJoin(F.broadcast(whole)).select(small.alias("__pair"))
         body = kept.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ","), F.lit("}")).alias("json"))
         return body.select(render_json("json").alias("value"))
 

@@ -721,6 +721,18 @@ def unhealthy_servers(spark, sf):
     return control.unhealthy(_servers(spark, sf), F.lit(_NOW), 3_000).select("id")
 
 
+@query(f"SELECT d.project_id, d.id, CASE WHEN g.id IS NULL THEN d.server_id END AS server_id, CASE WHEN g.id IS NULL THEN d.status ELSE 'inactive' END AS status FROM (SELECT DISTINCT * FROM project_databases) d LEFT JOIN (SELECT id FROM {_SERVERS} WHERE status = 'active' AND last_heartbeat <= {_NOW} - 3000) g ON g.id = d.server_id")
+def unhealthy_sweep(spark, sf):
+    """Databases after those on servers that went silent have lost them."""
+    return control.sweep(table(spark, sf, "project_databases").distinct(), _servers(spark, sf), F.lit(_NOW), 3_000).select("project_id", "id", "server_id", "status")
+
+
+@query("SELECT COUNT(*) AS total FROM events")
+def events_total(spark, sf):
+    """The total beside a page of events."""
+    return table(spark, sf, "events").agg(F.count("*").alias("total"))
+
+
 @query(f"SELECT id, database_count FROM {_HEALTHY} ORDER BY database_count, id LIMIT 1")
 def best_server(spark, sf):
     return control.best_server(_healthy(spark, sf)).select("id", "database_count")

@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = os.environ.get("CANOPY_LOCAL_DIR") or tempfile.mkdtemp(prefix="canopy-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -53,6 +53,7 @@ def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of :func:`shared_dir` for one run of one operator, removed when Python ends."""
     at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     if not _RUNS:
+        atexit.unregister(_remove_runs)
         atexit.register(_remove_runs)
     _RUNS.append((spark, at))
     return at
@@ -67,6 +68,12 @@ def _remove_runs() -> None:
             return
 
 
+def release_runs() -> None:
+    """Remove the run folders made so far; for long sessions, once the results that read them are done with."""
+    _remove_runs()
+    _RUNS.clear()
+
+
 def _fs(spark: SparkSession, at: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,3 +96,23 @@ def sdk_operations(frames: DataFrame) -> DataFrame:
     op = F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])[F.col("action")]
     many = (F.col("action") == "m") & F.exists(F.coalesce(F.map_keys(F.from_json("body", "map<string,string>")), F.array().cast("array<string>")), lambda k: F.contains(k, F.lit("/")))
     return frames.select("*", F.when(many, "tx").otherwise(op).alias("op")).filter("op is not null")
+
+
+def answer_options(params: dict[str, str]) -> dict[str, object]:
+    """The checked parameters of an answer: print, callback, download, shallow, and timeout in seconds.
+
+    A ``print`` other than pretty or silent, and a timeout that is no positive ``ms``, ``s`` or ``min`` up to a quarter of an hour, raise.
+    """
+    out: dict[str, object] = {k: params[k] for k in ("callback", "download") if params.get(k)}
+    if params.get("print"):
+        if params["print"] not in ("pretty", "silent"):
+            raise ValueError(f"print is pretty or silent, not {params['print']}")
+        out["print"] = params["print"]
+    if params.get("timeout"):
+        m = re.fullmatch(r"([0-9]+)(ms|s|min)", params["timeout"])
+        seconds = int(m[1]) * {"ms": 0.001, "s": 1, "min": 60}[m[2]] if m else 0
+        if not 0 < seconds <= 900:
+            raise ValueError(f"no timeout: {params['timeout']}")
+        out["timeout"] = seconds
+    out["shallow"] = params.get("shallow") == "true"
+    return out

@@ -218,3 +218,31 @@ def test_one_bad_deep_value_ends_no_job(spark):
     df = spark.createDataFrame([(deep,), ("{" * 9000,)], "v string")
     r = df.select(tree.render_json("v"), tree.native_hash("v"), tree.sdk_hash("v"), tree.value_size(F.col("v")), tree.value_depth(F.col("v")), mutations.valid_value_keys("v")).collect()
     assert r[0][0] == deep and r[0][3:] == (12 + 3000 * 6, 3000, True) and None not in r[0] and list(r[1]) == [None] * 6
+
+
+def test_recent_requests_are_remembered(spark):
+    rows = [("c", "a", 1), ("c", "b", 2), ("c", "a", 3), ("c", "d", 4), ("c", "a", 5), ("c", None, 6), ("c", "", 7), (None, "a", 8), (None, "a", 9), ("q", "a", 1)]
+    w = spark.createDataFrame(rows, "client string, request_id string, seq long")
+    assert sorted((r.client or "-", r.seq) for r in mutations.dedup_recent(w, 2).collect()) == [("-", 8), ("-", 9), ("c", 1), ("c", 2), ("c", 4), ("c", 5), ("c", 6), ("c", 7), ("q", 1)]
+
+
+def test_reads_are_bounded_and_samples_ingested(spark, tmp_path, monkeypatch):
+    from canopy.operators import query
+
+    c = spark.createDataFrame([("a", "1"), ("b", '{"x":[]}'), ("c", None)], "key string, value string")
+    assert query.TreeQuery().result(c).first().value == '{"a":1}' and query.TreeQuery().result(c.limit(0)).first().value is None
+    monkeypatch.setattr(query, "READ_BYTES", 5)
+    with pytest.raises(Exception, match="a read of more than"):
+        query.TreeQuery().result(c).collect()
+    (tmp_path / "s.json").write_text('[{"type":"db_metrics","ts":5,"project":"p","database":"d","writes":3},{"type":"db_metrics","project":""},{"type":"core"}]')
+    assert [(r.project, r.writes) for r in metrics.ingest(wal.read_samples(spark, str(tmp_path / "s.json"))).collect()] == [("p", 3)]
+    up = spark.createDataFrame([("s1", "active", 10), ("s2", "active", 99), (None, "active", 0)], "id string, status string, last_heartbeat long")
+    d = spark.createDataFrame([("d1", "s1", "active"), ("d2", "s2", "active"), ("d3", None, "idle")], "id string, server_id string, status string")
+    assert {r.id: (r.server_id, r.status) for r in control.sweep(d, up, F.lit(100), 9).collect()} == {"d1": (None, "inactive"), "d2": ("s2", "active"), "d3": (None, "idle")}
+
+
+def test_answer_options():
+    assert rest.answer_options({"print": "pretty", "timeout": "3min", "callback": "f"}) == {"callback": "f", "print": "pretty", "timeout": 180, "shallow": False}
+    for bad in ({"print": "loud"}, {"timeout": "0s"}, {"timeout": "16min"}, {"timeout": "5"}):
+        with pytest.raises(ValueError):
+            rest.answer_options(bad)
