@@ -5,9 +5,10 @@ null; token values are JSON), now (ms) and, for writes, op and value. The tree i
 table (db, path, value). Rules are JSON with comments. Without rules (None, or a text that
 holds none) everything is allowed; an admin (``is_admin``) passes; a null or broken value denies.
 
-All places of the tree that the rules of a request table ask for are answered by one join. The
-places asked for are reduced to distinct ones before they meet the tree, and a place that many
-requests ask for is spread over ``SALTS`` copies of its answer.
+All places of the tree that the rules of a request table ask for are answered together. The
+places asked for are counted and reduced to distinct ones before they meet the tree; the answers
+of those that a thousandth of all lookups ask for (fewer than ``HOT``) are broadcast, so no
+task of the join with the rest gets more than that of one place.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from canopy.functions.jsontext import INVALID, children, dump, has_leaf, parse
 from canopy.model import CONTAINER, NULL
 from canopy.operators.tree import flatten_json
 from canopy.rules import syntax
+from canopy.session import written
 from canopy.rules.compiler import Compiler, Val, literal, null, of_number, of_string, of_struct
 
 #: Strings over this many bytes read as null in a rule.
 VAL_BYTES = 100 << 10
-SALTS = 16
+#: A place that more than one in so many lookups ask for is answered by broadcast; fewer than this can be.
+HOT = 1000
 NODE = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("num", T.DoubleType()), T.StructField("str", T.StringType())])
 
 
@@ -129,25 +132,29 @@ def _written(op: str, path: str, value) -> list[tuple[str, object]]:
     return [(f"{path}/{k.strip('/')}".strip("/"), v[k]) for k in sorted(v)] if isinstance(v, dict) else []
 
 
-@F.pandas_udf(T.StructType([*NODE.fields, T.StructField("own", T.BooleanType())]))
-def _new_node(op: pd.Series, w_path: pd.Series, value: pd.Series, path: pd.Series) -> pd.DataFrame:
-    """The node at a path as a write would leave it; ``own`` is false where the tree decides.
+@F.pandas_udf(T.ArrayType(T.StructType([*NODE.fields, T.StructField("own", T.BooleanType())])))
+def _new_nodes(op: pd.Series, w_path: pd.Series, value: pd.Series, paths: pd.Series) -> pd.Series:
+    """The nodes at some paths as a write would leave them; ``own`` is false where the tree decides.
 
     Inside what is written the payload decides; above it there is a container if anything
-    written stays; elsewhere, and above what only removes, the tree does.
+    written stays; elsewhere, and above what only removes, the tree does. A payload is read once.
     """
 
-    def one(o, w, text, p):
-        if p is None or w is None:
+    def node(written, p):
+        if p is None:
             return NULL, 0.0, "", False
         box = False
-        for at, v in _written(o, w, text):
+        for at, v in written:
             if p == at or at == "" or p.startswith(at + "/"):
                 return *_node_at(v, p[len(at) :]), True
             box = box or ((p == "" or at.startswith(p + "/")) and (has_leaf(v) if isinstance(v, (dict, list)) else v is not None))
         return (*_BOX, True) if box else (NULL, 0.0, "", False)
 
-    return pd.DataFrame([one(*row) for row in zip(op, w_path, value, path)], columns=["rank", "num", "str", "own"]).astype({"rank": "int32", "num": float, "own": bool})
+    def one(o, w, text, ps):
+        written = [] if w is None else _written(o, w, text)
+        return [dict(zip(("rank", "num", "str", "own"), node(written, p), strict=True)) for p in ps]
+
+    return pd.Series([one(*row) for row in zip(op, w_path, value, paths)], dtype=object)
 
 
 def _answer(rows: DataFrame, keys: list[str], leaf: DataFrame, lookups) -> DataFrame:
@@ -156,15 +163,22 @@ def _answer(rows: DataFrame, keys: list[str], leaf: DataFrame, lookups) -> DataF
         return rows
     places = F.array(*[model.trimmed(path) for _, path in lookups])
     pairs = rows.select(*keys, "db", F.posexplode(places).alias("__i", "__p")).filter("__p is not null")
-    answers = nodes(leaf, pairs.select("db", F.col("__p").alias("path")).distinct()).withColumnRenamed("path", "__p").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    told = pairs.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(answers, ["db", "__p", "__salt"])
+    on = ["db", "__p"]
+    asked = written(pairs.groupBy("db", F.col("__p").alias("path")).agg(F.count("*").alias("n")), "asked")
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(asked.filter(F.col("n") * HOT > F.lit(total)).select("db", "path"))  # fewer than HOT rows
+    often = F.broadcast(nodes(leaf, hot).withColumnRenamed("path", "__p"))
+    answers = nodes(leaf, asked.select("db", "path")).withColumnRenamed("path", "__p")
+    told = pairs.join(often, on).unionByName(pairs.join(hot.withColumnRenamed("path", "__p"), on, "left_anti").join(answers, on))
     told = told.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("node"))).alias(f"__t{i}") for i in range(len(lookups))])
     out = rows.join(told, keys, "left")
-    for i, (source, path) in enumerate(lookups):
+    new = [i for i, (source, _) in enumerate(lookups) if source == "new"]
+    if new:
+        out = out.withColumn("__w", _new_nodes(F.col("op"), F.col("w_path"), F.col("value"), F.array(*[model.trimmed(lookups[i][1]) for i in new])))
+    for i in range(len(lookups)):
         node = F.col(f"__t{i}")
-        if source == "new":
-            out = out.withColumn(f"__w{i}", _new_node(F.col("op"), F.col("w_path"), F.col("value"), model.trimmed(path)))
-            made = F.col(f"__w{i}")
+        if i in new:
+            made = F.get("__w", F.lit(new.index(i)))
             node = F.when(made["own"], F.struct(made["rank"].alias("rank"), made["num"].alias("num"), made["str"].alias("str"))).otherwise(node)
         out = out.withColumn(f"__n{i}", F.when(F.octet_length(node.getField("str")) <= VAL_BYTES, node))
     return out
@@ -235,12 +249,13 @@ def _can_write(writes: DataFrame, leaf: DataFrame, rules: Rules, volatile: bool)
     at = put.join(below, key).withColumn("path", model.joined(F.col("w_path"), F.col("rel"))).drop("rel")
     up = put.withColumn("path", F.explode(model.prefixes(F.col("w_path"), strict=True)))
     rows = at.unionByName(up)
-    segs, compiler, valid = model.segments(F.col("path")), Compiler({}), F.lit(True)
+    segs, compiler, valid, asked = model.segments(F.col("path")), Compiler({}), F.lit(True), F.lit(False)
     for path, siblings, k, tree in rules.rules:
         if k == "validate":
             compiler.names = _names(path, segs, None, rules.environment)
-            valid = valid & (~_applies(path, siblings, segs, True) | compiler.boolean(tree))
-    broken = _answer(rows, [*key, "path"], leaf, compiler.lookups).filter(~valid).select(*key).distinct().withColumn("__bad", F.lit(True))
+            here = _applies(path, siblings, segs, True)
+            valid, asked = valid & (~here | compiler.boolean(tree)), asked | here
+    broken = _answer(rows.filter(asked), [*key, "path"], leaf, compiler.lookups).filter(~valid).select(*key).distinct().withColumn("__bad", F.lit(True))
     return granted.join(broken, key, "left").select(*key, (F.col("__w") & F.col("__bad").isNull()).alias("ok"))
 
 
